@@ -30,8 +30,9 @@ LEXICON = (
 SAMPLE = 20_000
 #: Pattern voters at most; a pattern needs so many toxic rows, and their share among its rows.
 PATTERNS, LEAST_ROWS, LEAST_SHARE = 240, 4, 0.8
-#: Lengths in bytes of the word beginnings that are tried.
-STEMS = (4, 5, 6, 7)
+#: Lengths in bytes of the word beginnings that are tried, and how many different words of a text must begin so.
+STEMS = (4, 5, 6, 7, 8)
+TIMES = (1, 2, 3)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 ROUNDS = 40
@@ -41,54 +42,67 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def mine_patterns(known: DataFrame, limit: int = PATTERNS, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> list[bytes]:
-    """Word beginnings that stand in toxic rows of the sample and hardly elsewhere; shorter ones stand for what begins with them."""
+def _stems(text: bytes) -> Counter:
+    """Word beginnings of a text, with the number of different words that begin so."""
+    distinct = set(_words(text))
+    return Counter([w[:n] for w in distinct for n in STEMS if len(w) >= n])
+
+
+def mine_patterns(known: DataFrame, limit: int = PATTERNS, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> list[tuple[bytes, int]]:
+    """(word beginning, least number of different words) that toxic rows of the sample have and others hardly; shorter beginnings stand for longer ones."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, other = Counter(), Counter()
             for text, y in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                distinct = set(_words(text))
-                (toxic if y >= 0.5 else other).update({w[:n] for n in STEMS for w in distinct if len(w) >= n})
+                into = toxic if y >= 0.5 else other
+                for stem, n in _stems(text).items():
+                    for k in TIMES[: n if n < len(TIMES) else None]:
+                        into[stem, k] += 1
             terms = list(toxic | other)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.binary()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], names=["term", "toxic", "other"]
+                [pa.array([t for t, _ in terms], pa.binary()), pa.array([k for _, k in terms], pa.int32()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())],
+                names=["term", "times", "toxic", "other"],
             )
 
-    counts = known.select("doc_id", "text", "y").mapInArrow(over, "term binary, toxic long, other long")
-    sums = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = known.select("doc_id", "text", "y").mapInArrow(over, "term binary, times int, toxic long, other long")
+    sums = counts.groupBy("term", "times").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     kept = sums.where((F.col("toxic") >= least_rows) & (F.col("toxic") >= least_share * (F.col("toxic") + F.col("other"))))
     score = F.log2((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) * F.sqrt("toxic")
-    best = kept.orderBy(score.desc(), "term").limit(8 * limit).collect()
-    chosen: list[bytes] = []
-    rows = {bytes(r["term"]): (r["toxic"], r["other"]) for r in best}
-    for term in rows:
-        shorter = [term[:n] for n in STEMS if n < len(term) and term[:n] in rows]
-        if not any(rows[s][1] * 20 <= rows[s][0] for s in shorter) and len(chosen) < limit:
-            chosen.append(term)
+    best = kept.orderBy(score.desc(), "term", "times").limit(8 * limit).collect()
+    rows = {(bytes(r["term"]), r["times"]): (r["toxic"], r["other"]) for r in best}
+    chosen: list[tuple[bytes, int]] = []
+    for term, times in rows:
+        shorter = [(term[:n], times) for n in STEMS if n < len(term) and (term[:n], times) in rows]
+        if not any(rows[x][1] * 20 <= rows[x][0] for x in shorter) and len(chosen) < limit:
+            chosen.append((term, times))
     return chosen
 
 
 class Voters:
-    """Counts of the hits of each lexicon word and pattern in a text."""
+    """Hits of each voter in a text: places of a lexicon word, or different words with a pattern's beginning if they are enough."""
 
-    def __init__(self, lexicon: tuple[str, ...], patterns: list[bytes]):
-        self.names = [w.encode() for w in lexicon] + [p + b"*" for p in patterns]
+    def __init__(self, lexicon: tuple[str, ...], patterns: list[tuple[bytes, int]]):
         self.whole = {w.encode(): i for i, w in enumerate(lexicon)}
-        self.begin = {p: len(lexicon) + i for i, p in enumerate(patterns)}
+        self.begin: dict[bytes, list[tuple[int, int]]] = {}
+        for i, (stem, times) in enumerate(patterns):
+            self.begin.setdefault(stem, []).append((len(lexicon) + i, times))
         self.first = {x[:4] for x in [*self.whole, *self.begin]}
-        self.lengths = sorted({len(p) for p in patterns})
-        self.n = len(self.names)
+        self.lengths = sorted({len(stem) for stem in self.begin})
+        self.n = len(lexicon) + len(patterns)
 
     def __call__(self, text: bytes) -> tuple[int, Counter]:
         words, first = _words(text), self.first
         hits: Counter = Counter()
-        for w in [w for w in words if w[:4] in first]:
+        found = [w for w in words if w[:4] in first]
+        for w in found:
             if (i := self.whole.get(w)) is not None:
                 hits[i] += 1
-            for n in self.lengths:
-                if (i := self.begin.get(w[:n])) is not None and len(w) >= n:
-                    hits[i] += 1
+        stems = Counter([w[:n] for w in set(found) for n in self.lengths if len(w) >= n])
+        for stem, count in stems.items():
+            for i, times in self.begin.get(stem, ()):
+                if count >= times:
+                    hits[i] = count
         return len(words), hits
 
 
