@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.llm import decontam, licenses, packing, quality, toxicity
+from terrado.llm import decontam, licenses, packing, quality, simhash, toxicity
 from terrado.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
+        "op3_simhash": op3_simhash,
         "op5_licenses": op5_licenses,
         "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
