@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.llm import decontam, licenses, packing, pii, quality, simhash, toxicity, url_filters
+from terrado.llm import decontam, licenses, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filters
 from terrado.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
