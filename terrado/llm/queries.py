@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.llm import decontam, licenses, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filters
+from terrado.llm import decontam, licenses, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filters
 from terrado.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op2_quality": op2_quality,
         "op3_simhash": op3_simhash,
+        "op4_topk": op4_topk,
         "op5_licenses": op5_licenses,
         "op6_pii": op6_pii,
         "op7_decontamination": op7_decontamination,
@@ -81,5 +86,17 @@ FROM docs d LEFT JOIN hit_words h USING (row) LEFT JOIN hit_items t USING (row)
 """
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op4_topk": OP4_SQL, "op7_decontamination": OP7_SQL}
