@@ -45,37 +45,15 @@ def find_contamination(
 
     Null texts have no words. Repeated rows are judged one by one. An empty benchmark hits nothing.
     """
-    grams = benchmark_windows(benchmark, item_col, item_text_col, size).select(
-        "*", let(F.split(F.lower("window"), " "), lambda w: F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.expr("length div 2").cast("int")), F.get(w, F.col("length") - 1))).alias("probe")
-    )
+    grams = _with_probes(benchmark_windows(benchmark, item_col, item_text_col, size))
     counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     small = sum(counts.values()) <= max_set
-    probes: dict[int, list[int]] = {}
-    if small:
-        for r in grams.select("length", "probe").distinct().collect():
-            probes.setdefault(r["length"], []).append(r["probe"])
-
-    def starts(length: int) -> str:
-        """SQL: places in w where a window of this length may stand."""
-        every = f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
-        if small:
-            listed = ", ".join(map(_literal, probes[length]))
-            every = f"filter({every}, i -> xxhash64(get(w, i), get(w, i + {length // 2}), get(w, i + {length - 1})) IN ({listed}))"
-        return f"transform({every}, i -> named_struct('i', i, 'length', {length}))"
+    probes = _probes(grams) if small else {}
 
-    found = ", ".join(["cast(array() as array<struct<i:int,length:int>>)", *map(starts, sorted(counts))])
-    # Full lower-casing keeps the word boundaries and can only find more, and it is cheap; what it finds is verified.
-    # The lambda binds the words, so that they are taken once; its text is SQL as a list of literals is slow to build from columns.
-    seen = F.expr(f"transform(array(regexp_extract_all(lower(coalesce(text, '')), r'{WORD}', 0)), w -> named_struct('n_words', cast(size(w) as long), 'at', concat({found})))[0]")
+    seen = F.expr(_seen(counts, probes if small else None))
     rows = rows.select("_row", "doc_id", "text", seen.alias("s"))
-    exact = F.when(
-        F.size("s.at") > 0,
-        let(
-            words(ascii_lower(F.col("text"))),
-            lambda w: F.transform(F.col("s.at"), lambda c: F.struct(c["i"].alias("i"), c["length"].alias("length"), F.array_join(F.slice(w, c["i"] + 1, c["length"]), " ").alias("window"))),
-        ),
-    )
+    exact = F.when(F.size("s.at") > 0, _exact("text", "s.at"))
     at = rows.select("_row", "doc_id", F.col("s.n_words").alias("n_words"), F.explode_outer(exact).alias("c"))
     sets = grams.select("window", "items")
     at = at.select("_row", "doc_id", "n_words", F.col("c.i").alias("i"), F.col("c.length").alias("length"), F.col("c.window").alias("window"))
@@ -92,6 +70,65 @@ def _literal(number: int) -> str:
     return f"{number}L" if number > -(2**63) else "(-9223372036854775807L - 1L)"
 
 
+def _probes(grams: DataFrame) -> dict[int, list[int]]:
+    """The hash set, by length; callers have checked its size."""
+    found: dict[int, list[int]] = {}
+    for r in grams.select("length", "probe").distinct().collect():
+        found.setdefault(r["length"], []).append(r["probe"])
+    return found
+
+
+def _seen(counts: dict[int, int], probes: dict[int, list[int]] | None, text: str = "text") -> str:
+    """SQL: struct n_words, at (places where a window may stand; all without probes).
+
+    Full lower-casing keeps the word boundaries and can only find more, and it
+    is cheap; what it finds is verified. The lambda binds the words, so that they
+    are taken once.
+    """
+
+    def starts(length: int) -> str:
+        every = f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
+        if probes is not None:
+            listed = ", ".join(map(_literal, probes[length]))
+            every = f"filter({every}, i -> xxhash64(get(w, i), get(w, i + {length // 2}), get(w, i + {length - 1})) IN ({listed}))"
+        return f"transform({every}, i -> named_struct('i', i, 'length', {length}))"
+
+    found = ", ".join(["cast(array() as array<struct<i:int,length:int>>)", *map(starts, sorted(counts))])
+    return f"transform(array(regexp_extract_all(lower(coalesce({text}, '')), r'{WORD}', 0)), w -> named_struct('n_words', cast(size(w) as long), 'at', concat({found})))[0]"
+
+
+def _exact(text: str, at: str) -> Column:
+    """The windows of a text at some places: i, length, window."""
+    place = lambda w, c: F.struct(c["i"].alias("i"), c["length"].alias("length"), F.array_join(F.slice(w, c["i"] + 1, c["length"]), " ").alias("window"))
+    return let(words(ascii_lower(F.col(text))), lambda w: F.transform(F.col(at), lambda c: place(w, c)))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+    """docs without the rows whose text has a window of the benchmark; all columns stay, and rows without text.
+
+    Up to max_set windows the rows are judged where they are, without a shuffle.
+    """
+    grams = _with_probes(benchmark_windows(benchmark, item_col, item_text_col, size))
+    counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    if not counts:
+        return docs
+    text = F.col(f"`{text_col}`").cast("string")
+    if sum(counts.values()) <= max_set:
+        listed = ", ".join("'" + r["window"].replace("\\", "\\\\").replace("'", "\\'") + "'" for r in grams.select("window").distinct().collect())
+        rows = docs.withColumn("_text", text).withColumn("_at", F.expr(_seen(counts, _probes(grams), "_text"))["at"])
+        rows = rows.withColumn("_windows", F.when(F.size("_at") > 0, _exact("_text", "_at")["window"]))
+        return rows.where(F.expr(f"NOT coalesce(exists(_windows, x -> x IN ({listed})), false)")).drop("_text", "_at", "_windows")
+    keyed = docs.withColumn("_content", F.xxhash64(F.coalesce(text, F.lit(""))))
+    report = find_contamination(keyed.select("_content", text.alias("text")), benchmark, id_col="_content", item_col=item_col, item_text_col=item_text_col, size=size, max_set=max_set)
+    hit = report.where(F.size("hits") > 0).select(F.col("doc_id").alias("_content")).distinct()
+    return keyed.join(hit, "_content", "left_anti").select(*docs.columns)
+
+
+def _with_probes(grams: DataFrame) -> DataFrame:
+    of = lambda w: F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.expr("length div 2").cast("int")), F.get(w, F.col("length") - 1))
+    return grams.select("*", let(F.split(F.lower("window"), " "), of).alias("probe"))
+
+
 def hit_words(hits: Column) -> Column:
     """Number of words inside any hit."""
     covered = F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))

@@ -168,15 +168,52 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def _counted(batch: pa.RecordBatch, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
-    counts, words = np.zeros((batch.num_rows, voters.n), np.float32), np.zeros(batch.num_rows)
-    for i, text in enumerate(utf8(batch.column(1))):
+def _counted(texts: pa.Array, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    counts, words = np.zeros((len(texts), voters.n), np.float32), np.zeros(len(texts))
+    for i, text in enumerate(utf8(texts)):
         words[i], hits = voters(text)
         for j, n in hits.items():
             counts[i, j] = n
     return counts, words
 
 
+class Scorer:
+    """Scores of texts: the voters and the linear classifier."""
+
+    def __init__(self, voters: Voters, n_lexicon: int, weights: np.ndarray):
+        self.voters, self.n_lexicon, self.weights = voters, n_lexicon, weights
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        z = design(*_counted(texts, self.voters), self.n_lexicon) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def train(texts: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexicon: tuple[str, ...] = LEXICON, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Scorer:
+    """A scorer from texts (doc_id, text) and labels, of which at most `sample` outside the held-out fold count."""
+    chosen = sample_labels(labels, label_col, folds, held_out, sample)
+    known = materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))  # at most `sample` ids
+    voters = Voters(lexicon, mine_patterns(known))
+    n_lexicon = len(lexicon)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, words = _counted(batch.column(1), voters)
+            rows = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(words, pa.float64())], names=["counts", "words"])
+
+    rows = known.select("doc_id", "text").mapInArrow(gather, "counts binary, words double").limit(2 * sample).collect()
+    counts = np.array([np.frombuffer(r["counts"], np.uint8) for r in rows], float).reshape(-1, voters.n)
+    words = np.array([r["words"] for r in rows])
+    if len(rows):
+        model = LabelModel(votes(counts, words, n_lexicon))
+        target = model.posterior(votes(counts, words, n_lexicon))
+        weights = fit_linear(design(counts, words, n_lexicon), target)
+    else:
+        weights = np.zeros(voters.n + 5)
+        weights[-2:] = 3.0, -2.0  # any hit of the lexicon: 0.73
+    return Scorer(voters, n_lexicon, weights)
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -198,32 +235,22 @@ def score_toxicity(
     rows the lexicon alone votes.
     """
     texts = texts_of(docs, id_col, text_col)
-    chosen = sample_labels(labels, label_col, folds, held_out, sample)
-    known = materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))  # at most `sample` ids
-    voters = Voters(lexicon, mine_patterns(known))
-    n_lexicon = len(lexicon)
+    score = train(texts, labels, label_col=label_col, lexicon=lexicon, sample=sample, folds=folds, held_out=held_out)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, words = _counted(batch, voters)
-            rows = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(words, pa.float64())], names=["counts", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
+
+    scored = texts.mapInArrow(over, "doc_id long, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    rows = known.select("doc_id", "text").mapInArrow(gather, "counts binary, words double").limit(2 * sample).collect()
-    counts = np.array([np.frombuffer(r["counts"], np.uint8) for r in rows], float).reshape(-1, voters.n)
-    words = np.array([r["words"] for r in rows])
-    if len(rows):
-        model = LabelModel(votes(counts, words, n_lexicon))
-        target = model.posterior(votes(counts, words, n_lexicon))
-        weights = fit_linear(design(counts, words, n_lexicon), target)
-    else:
-        weights = np.zeros(voters.n + 5)
-        weights[-2:] = 3.0, -2.0  # any hit of the lexicon: 0.73
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """docs without the rows that score the threshold or more; all columns stay, and rows without text. No shuffle of the texts."""
+    score = train(texts_of(docs, id_col, text_col), labels, **options)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = design(*_counted(batch, voters), n_lexicon) @ weights
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "score"])
+            yield batch.filter(pa.array(score(batch.column(text_col)) < threshold))
 
-    scored = texts.mapInArrow(over, "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(over, docs.schema)
