@@ -8,10 +8,10 @@ consecutive windows with one anchor are one run. Anchors that occur once are
 done with. Runs whose whole context occurs again are removed whole. The other
 runs of a group are sorted as suffixes that start at the anchor: a mergesort whose comparisons
 find common extensions by binary search over prefix polynomial hashes, verified
-on the bytes. Neighbours in that order, and the common extension to the left,
-give the windows that stand elsewhere. Groups of more than CROWD different
-contexts (a passage in thousands of surroundings) are not compared by pairs:
-their windows are counted by a hash of 128 bits, exactly and without a cap.
+on the bytes. They are sorted to the left of the anchor likewise, and neighbours
+in both orders give the windows that stand elsewhere. Groups of more than CROWD
+different contexts are not sorted in a task: their windows are counted by a hash
+of 128 bits, without a cap.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from terrado.llm.common import drop_table, materialize, texts_of, utf8
 LENGTH = 200
 #: Bytes of the strings among which anchors are chosen.
 GRAM = 48
-#: Different contexts of an anchor that are sorted in one task.
-CROWD = 64
+#: Different contexts of an anchor that are sorted in one task (some 7 MB).
+CROWD = 20_000
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)  # odd, so they have inverses modulo 2**64
 _MASK = (1 << 64) - 1
@@ -150,50 +150,86 @@ class Contexts:
         return low
 
 
+def _outwards(at: int, order: list[int], shared: list[int]) -> Iterator[tuple[int, int]]:
+    """The other members of a sorted order from one place outwards, with what they share with it, the most first."""
+    up, down = at + 1, at - 1
+    above = shared[at] if up < len(order) else -1
+    below = shared[down] if down >= 0 else -1
+    while above >= 0 or below >= 0:
+        if above >= below:
+            yield order[up], above
+            above = min(above, shared[up]) if up + 1 < len(order) else -1
+            up += 1
+        else:
+            yield order[down], below
+            down -= 1
+            below = min(below, shared[down]) if down >= 0 else -1
+
+
+def _span(low: int, high: int) -> int:
+    """Bits low to high."""
+    return ((1 << (high + 1)) - 1) >> low << low if low <= high else 0
+
+
 def repeated_in_group(c: Contexts, members: list[tuple[int, int, int, bool]], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(member, least, greatest) distances from window start to anchor, of windows that another member has.
 
-    A member: its anchor in the buffer, the least and greatest distance of its windows, and whether it is asked for.
+    A member: its anchor in the buffer, the least and greatest distance of its
+    windows, and whether it is asked for. Members are sorted as suffixes from
+    the anchor and, mirrored, to its left. With a member that shares `right`
+    bytes to the right and `left` bytes to the left, the windows at distances
+    length - right to left are shared. The neighbours in both orders bound all
+    of these, and mostly cover what they bound at once.
     """
     buffer = c.buffer
-
-    def compare(i: int, j: int) -> int:
+    if len(members) == 2:
+        (a, low_a, high_a, _), (b, low_b, high_b, _) = members
+        right = c.ahead(a, b, length - max(low_a, low_b))
+        least = length - right
+        left = c.behind(a, b, min(high_a, high_b)) if least <= min(high_a, high_b) else -1
+        return [(i, least, left) for i in (0, 1) if least <= left and members[i][3]]
+
+    def by_right(i: int, j: int) -> int:
         a, b = members[i][0], members[j][0]
         most_a, most_b = length - members[i][1], length - members[j][1]
         common = c.ahead(a, b, min(most_a, most_b))
-        if common < most_a and common < most_b:
-            return -1 if buffer[a + common] < buffer[b + common] else 1
-        return most_a - most_b
+        return buffer[a + common] - buffer[b + common] if common < most_a and common < most_b else most_a - most_b
 
-    order = sorted(range(len(members)), key=cmp_to_key(compare)) if len(members) > 2 else list(range(len(members)))
-    shared = [c.ahead(members[i][0], members[j][0], length - max(members[i][1], members[j][1])) for i, j in zip(order, order[1:], strict=False)]
+    def by_left(i: int, j: int) -> int:
+        a, b = members[i][0], members[j][0]
+        common = c.behind(a, b, min(members[i][2], members[j][2]))
+        return buffer[a - common - 1] - buffer[b - common - 1] if common < members[i][2] and common < members[j][2] else members[i][2] - members[j][2]
+
+    n = len(members)
+    orders = [sorted(range(n), key=cmp_to_key(f)) for f in (by_right, by_left)]
+    rights = [c.ahead(members[i][0], members[j][0], length - max(members[i][1], members[j][1])) for i, j in zip(orders[0], orders[0][1:], strict=False)]
+    lefts = [c.behind(members[i][0], members[j][0], min(members[i][2], members[j][2])) for i, j in zip(orders[1], orders[1][1:], strict=False)]
+    places = [{i: k for k, i in enumerate(order)} for order in orders]
     out: list[tuple[int, int, int]] = []
-    for at, i in enumerate(order):
-        anchor, low, high, asked = members[i]
+    for i, (anchor, low, high, asked) in enumerate(members):
         if not asked:
             continue
-        for way in (1, -1):
-            right, k = length, at
-            while 0 <= k + way < len(order):
-                right = min(right, shared[k if way > 0 else k - 1])
-                k += way
-                if right < length - high:  # no window of this run reaches so far
-                    break
-                other = members[order[k]]
-                left = c.behind(anchor, other[0], min(high, other[2]))
-                least, greatest = max(low, length - right), left
-                if least <= greatest:
-                    out.append((i, least, greatest))
-                    if least == low and greatest == high:
-                        break
-            else:
-                continue
-            if out and out[-1][0] == i and out[-1][1:] == (low, high):
-                break
+        from_right = _outwards(places[0][i], orders[0], rights)
+        from_left = _outwards(places[1][i], orders[1], lefts)
+        r, l = next(from_right), next(from_left)
+        first, last = max(low, length - r[1]), min(high, l[1])
+        full, mask = _span(first, last), 0
+        while mask != full:
+            if r is None or length - r[1] > last or l is None or l[1] < first:
+                break  # what is left shares too little on one side
+            left = c.behind(anchor, members[r[0]][0], min(high, members[r[0]][2]))
+            mask |= _span(max(low, length - r[1]), left)
+            right = c.ahead(anchor, members[l[0]][0], length - max(low, members[l[0]][1]))
+            mask |= _span(max(low, length - right), min(high, l[1]))
+            r, l = next(from_right, None), next(from_left, None)
+        while mask:
+            least = (mask & -mask).bit_length() - 1
+            run = (~(mask >> least) & ((mask >> least) + 1)).bit_length() - 1
+            out.append((i, least, least + run - 1))
+            mask &= ~_span(least, least + run - 1)
     return out
 
 
-
 def _stored(texts: DataFrame) -> DataFrame:
     """row, doc_id, z (text as compressed UTF-8): the corpus under stable row numbers, written once."""
 
