@@ -1,26 +1,19 @@
-"""The engine's operators as queries over the driver's tables, each with equivalent SQL."""
+"""The engine's operators as queries over the driver's tables, each with equivalent SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SQL: dict[str, str] = {}
+from terrado.catalogue import analytic, matching, searching, textual
 
-
-def listing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_totalprice")
-
-
-SQL["listing_search"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'"
+_PARTS = (searching, matching, analytic, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"listing_search": listing_search}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
