@@ -1,12 +1,9 @@
-"""Near-duplicates by deletion-variant signatures.
+"""SimHash near-duplicates by deletion-variant signatures.
 
 A signature is cut into fewer segments than the differences that are allowed, so
 one segment differs in at most one place. Every segment is indexed under each of
 its variants with one place left out; signatures that share a variant meet by an
-equality join and are verified. SimHash signatures have bits for places
-(`simhash_components`), MinHash signatures have minima for places
-(`near_duplicate_components`, which finds a Jaccard similarity that SimHash bits
-are too coarse for).
+equality of keys and are verified. The places of SimHash signatures are bits.
 """
 
 from __future__ import annotations
@@ -16,18 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.llm.common import drop_table, materialize, texts_of, utf8
+from terrado.llm.common import materialize, texts_of, utf8
 from terrado.llm.components import connected_components
 
 #: Words of a shingle, and bits that linked fingerprints may differ in.
 SHINGLE, DISTANCE = 3, 2
-#: Near-duplicates on word shingles unless said otherwise: words and Jaccard similarity.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: MinHash signatures: segments, minima in each (one may differ), and minima besides, which only verify.
-SEGMENTS, PLACES, CHECKED = 8, 8, 64
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
@@ -85,10 +78,12 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     variants = distinct.selectExpr("fp", bit).selectExpr(
         "fp", "xxhash64(bit, (fp & (if(bit < 32, 4294967295L, -4294967296L))) & ~shiftleft(1L, bit)) AS key"
     )
-    buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    buckets = materialize(buckets)
-    pairs = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
-    crowded = variants.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    # one exchange finds the buckets and their members; a key holds one of each fingerprint's 64 rows at most
+    bucket = Window.partitionBy("key")
+    met = variants.select("fp", F.count("*").over(bucket).alias("n"), F.min("fp").over(bucket).alias("a")).where("n > 1")
+    met = materialize(met.distinct())
+    pairs = met.where((F.col("n") == 2) & (F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance)).select("a", F.col("fp").alias("b"))
+    crowded = met.where("n > 2").select("fp").distinct()
     return pairs.union(_neighbour_links(crowded, distance))
 
 
@@ -98,8 +93,8 @@ def _neighbour_links(members: DataFrame, distance: int) -> DataFrame:
         around = members.selectExpr("fp", "explode(transform(sequence(0, 63), bit -> xxhash64(bit, fp & ~shiftleft(1L, bit)))) AS value") if distance else members.selectExpr("fp", "fp AS value")
     else:
         around = members.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), bit -> fp ^ shiftleft(1L, bit)))) AS value")
-    centre = around.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return around.join(centre, "value").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    # a value is near 65 fingerprints at most
+    return around.select("fp", F.min("fp").over(Window.partitionBy("value")).alias("a")).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
