@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.catalogue import analytic, matching, searching, textual
+from terrado.catalogue import analytic, extraction, matching, searching, textual
 
-_PARTS = (searching, matching, analytic, textual)
+_PARTS = (searching, matching, analytic, textual, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
