@@ -369,7 +369,8 @@ def _crowded_groups(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(stored: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """row, spans: array of (s, e), unordered and overlapping, of the bytes of each text that has any."""
-    again = _runs(stored, length, gram, True).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that both sides of the join below are plain exchanges and a very common anchor's rows are split
+    again = materialize(_runs(stored, length, gram, True).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     runs = materialize(_runs(stored, length, gram, False).join(again, "h", "left_semi"))
     keys = runs.groupBy("h", "k1", "k2").agg(F.count("*").alias("times"), *(F.first(x).alias(x) for x in ("row", "p", "n", "a")))
     keys = materialize(keys)
