@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import WORD_BYTES, texts_of, utf8
+from terrado.llm.common import WORD_BYTES, slices, texts_of, utf8
 
 # Base phrases with their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -223,7 +223,7 @@ def scan_licenses(
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates, min_run, max_gap, min_cover)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scanner.scan(text) for text in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import texts_of
+from terrado.llm.common import slices, texts_of
 
 LONGEST = 2048
 #: The id after each document's own.
@@ -123,7 +123,7 @@ def pack(
         if paths not in _encoders:
             _encoders[paths] = encoder(*paths)
         encode = _encoders[paths]
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts, lengths, tokens, totals = [], [], [], [], []
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import materialize, texts_of, utf8
+from terrado.llm.common import materialize, slices, texts_of, utf8
 from terrado.llm.labelled import Isotonic, fold, sample_labels
 
 #: Labelled rows that the fit uses at most.
@@ -85,7 +85,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, x (array of N_STATISTICS doubles); one row per row of docs."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = pa.array([statistics(t) for t in utf8(batch.column(1))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), x], names=["doc_id", "x"])
 
@@ -124,7 +124,7 @@ def normal_equations(rows: DataFrame, features: Fourier) -> tuple[np.ndarray, np
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n = np.zeros((size, size)), np.zeros(size), 0
-        for batch in batches:
+        for batch in slices(batches):
             z = features(_matrix(batch.column(0), N_STATISTICS))
             a += z.T @ z
             b += z.T @ batch.column(1).to_numpy(zero_copy_only=False)
@@ -178,7 +178,7 @@ def score_quality(
     learned = n > 0 and 0 < share < 1
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = _matrix(batch.column(1), N_STATISTICS)
             score = calibrated(fourier(x) @ weights) if learned else np.full(len(x), share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(score, 0, 1), pa.float64())], names=["doc_id", "score"])

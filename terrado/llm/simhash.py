@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.llm.common import materialize, texts_of, utf8
+from terrado.llm.common import materialize, slices, texts_of, utf8
 from terrado.llm.components import connected_components
 
 #: Words of a shingle, and bits that linked fingerprints may differ in.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp (the 64 bits as a signed long); one row per row of docs."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(shingle_hashes(t, size)) for t in utf8(batch.column(1))], "<u8")
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
 

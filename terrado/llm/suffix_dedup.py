@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import drop_table, materialize, texts_of, utf8
+from terrado.llm.common import drop_table, materialize, slices, texts_of, utf8
 
 LENGTH = 200
 #: Bytes of the strings among which anchors are chosen.
@@ -46,16 +46,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
-_tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+_tables: list[tuple[np.ndarray, np.ndarray] | None] = [None, None]
 
 
-def _tables_for(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of each base and of its inverse, to n at least."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _tables:
-        _tables.clear()
-        _tables[size] = [(_powers(b, size), _powers(pow(b, -1, 1 << 64), size)) for b in _BASES]
-    return _tables[size]
+def _tables_for(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, to n at least; a worker keeps the longest."""
+    found = _tables[base]
+    if found is None or len(found[0]) <= n:
+        _tables[base] = found = None
+        size = -(-(n + 1) // 262_144) * 262_144
+        _tables[base] = found = (_powers(_BASES[base], size), _powers(pow(_BASES[base], -1, 1 << 64), size))
+    return found
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def runs_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         data = np.frombuffer(text, np.uint8, count=max(0, min(len(text) - at, _CHUNK - 1)), offset=at) if text else np.zeros(0, np.uint8)
         if len(data) < length:
             continue
-        (p, q), (p2, q2) = _tables_for(len(data))
+        (p, q), (p2, q2) = _tables_for(len(data)), _tables_for(len(data), 1)
         s = _prefix(data, p)
         n = len(data) - gram + 1
         h = _mixed((s[gram:] - s[:-gram]) * q[:n])
@@ -115,7 +116,7 @@ class Contexts:
         self.buffer = b"".join(contexts)
         lengths = np.array([len(c) for c in contexts])
         self.at = (np.cumsum(lengths) - lengths).tolist()
-        (p, q), _ = _tables_for(len(self.buffer))
+        p, q = _tables_for(len(self.buffer))
         self.s = memoryview(_prefix(np.frombuffer(self.buffer, np.uint8), p))
         self.q = memoryview(q)
 
@@ -235,7 +236,7 @@ def _stored(texts: DataFrame) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             z = pa.array([pack.compress(t) for t in utf8(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), z], names=["row", "doc_id", "z"])
 
@@ -254,14 +255,14 @@ _RUN = "h long, k1 long, k2 long, row long, p int, n int, a int"
 
 def _runs(stored: DataFrame, length: int, gram: int, only_hash: bool) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held: list[tuple[np.ndarray, ...]] = []
             size = 0
             for row, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 found = runs_of(text, length, gram)
                 held.append((found[3],) if only_hash else (*found[3:], np.full(len(found[0]), row), found[0], found[1], found[2]))
                 size += len(found[0])
-                if size > 200_000:
+                if size > 100_000:
                     yield joined(held)
                     held, size = [], 0
             if held:
@@ -283,7 +284,7 @@ def _contexts(stored: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "p", "n", "a", "times")).alias("runs"))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(8)]
             size = 0
             for row, text, runs in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2), strict=True):
@@ -292,7 +293,7 @@ def _contexts(stored: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     for x, v in zip(out, (r["h"], row, r["p"], r["n"], r["a"], r["times"] == 1, r["times"], context), strict=True):
                         x.append(v)
                     size += len(context)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield made(out)
                     out, size = [[] for _ in range(8)], 0
             yield made(out)
@@ -328,9 +329,9 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if size > 2_000_000 and r[0] != held[-1][0]:
+                if size > 500_000 and r[0] != held[-1][0]:
                     yield spans(held)
                     held, size = [], 0
                 held.append(r)
@@ -346,11 +347,11 @@ def _crowded_groups(contexts: DataFrame, length: int) -> DataFrame:
     """Spans (row, s, e) of groups of any size: windows counted by two hashes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for row, p, n, asked, times, context in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 data = np.frombuffer(context, np.uint8)
-                (w, q), (w2, q2) = _tables_for(len(data))
+                (w, q), (w2, q2) = _tables_for(len(data)), _tables_for(len(data), 1)
                 s, s2 = _prefix(data, w), _prefix(data, w2)
                 i = np.arange(n)
                 for x, v in zip(
@@ -404,7 +405,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = repeated_spans(stored, length, gram, crowd)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, removed, kept = [], [], []
             for text, found in zip(_texts(batch.column(1)), batch.column(2), strict=True):
                 gone = merged([(x["s"], x["e"]) for x in found.as_py() or ()])

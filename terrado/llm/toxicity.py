@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import WORD_BYTES, materialize, texts_of, utf8
+from terrado.llm.common import WORD_BYTES, materialize, slices, texts_of, utf8
 from terrado.llm.labelled import fold, sample_labels
 
 # Insults, each a voter.
@@ -196,7 +196,7 @@ def train(texts: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexi
     n_lexicon = len(lexicon)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, words = _counted(batch.column(1), voters)
             rows = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(words, pa.float64())], names=["counts", "words"])
@@ -238,7 +238,7 @@ def score_toxicity(
     score = train(texts, labels, label_col=label_col, lexicon=lexicon, sample=sample, folds=folds, held_out=held_out)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     scored = texts.mapInArrow(over, "doc_id long, score double")
@@ -250,7 +250,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     score = train(texts_of(docs, id_col, text_col), labels, **options)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(score(batch.column(text_col)) < threshold))
 
     return docs.mapInArrow(over, docs.schema)
