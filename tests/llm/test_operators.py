@@ -201,6 +201,29 @@ def test_near_duplicates_at_a_similarity(spark):
     assert near_duplicates.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_copies_in_a_template_family(spark):
+    """All texts are at 0.7 of each other by their template; each has one copy at 0.82."""
+    template = " ".join(f"t{i}" for i in range(200))
+    rows = []
+    for i in range(300):
+        tail = [f"p{i}x{k}" for k in range(42)]
+        rows += [(2 * i, " ".join([template, *tail])), (2 * i + 1, " ".join([template, *tail[:19], *(f"q{i}x{k}" for k in range(23))]))]
+    groups = near_duplicates.near_duplicate_groups(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {i: i - i % 2 for i in range(600)}
+
+
+def test_similarity_is_exact(spark):
+    """184 words with four changed share 160 of 200 shingles, 183 share 159 of 199."""
+    rows, expected = [], {}
+    for i in range(80):
+        w = [f"v{i}x{k}" for k in range(184 - i % 2)]
+        other = [f"new{i}" if k in (20, 60, 100, 140) else x for k, x in enumerate(w)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        expected |= {2 * i: 2 * i, 2 * i + 1: 2 * i + i % 2}
+    groups = near_duplicates.near_duplicate_groups(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in groups} == expected
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
