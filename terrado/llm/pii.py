@@ -9,7 +9,7 @@ to permute; a keyed digest of theirs stands in their place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds of the network.
@@ -18,18 +18,33 @@ ROUNDS = 8
 DATE_SIDE = 271
 DEFAULT_KEY = "pseudonyms-1"
 
-# The patterns, by kind; the first that fits at a place counts.
+#: IBAN lengths by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# The patterns, by kind; the first that fits at a place counts. A card's is the whole run of digit groups it may be in.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})\b",
+    "iban": r"\b(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b",
+    "other_iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ip": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b",
-    "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+    "card": r"\b(?=[0-9](?:[ -]?[0-9]){12})[0-9]++\b(?:[ -][0-9]++\b)*+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Patterns that may take more than their value and be invalid for it: what they leave is read again without them, one after the other.
+AGAIN = ("other_iban", "iban", "card")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -95,6 +110,26 @@ def _card(m: str, key: str) -> str:
     return _let(_digits(m), "c", f"if(length(c) between 13 and 19 and c not rlike '^0+$' and {luhn_sum('c')} % 10 = 0, {_refill(m, done)}, {m})")
 
 
+def _cards(m: str, key: str) -> str:
+    """SQL: the items of a run of digit groups: its cards, which begin and end with a group, and what is between.
+
+    Of overlapping ones the usual lengths and first digits win, then the longer, then the first.
+    """
+    starts = f"filter(sequence(1, length({m})), i -> substr({m}, i, 1) between '0' and '9' and (i = 1 or not substr({m}, i - 1, 1) between '0' and '9'))"
+    tried = f"transform(sequence(13, 19), n -> regexp_extract(substr({m}, i, 37), concat('^[0-9](?:[ -]?[0-9]){{', n - 1, '}}(?![0-9])'), 0))"
+    valid = _let(_digits("v"), "c", f"c not rlike '^0*$' and {luhn_sum('c')} % 10 = 0")
+    score = _let(_digits("v"), "c", "length(c) + if(c rlike '^(?:[2-6][0-9]{15}|3[47][0-9]{13})$', 100, 0)")
+    # the lookahead in `tried` does not see a group that the 37 characters cut
+    whole = f"not substr({m}, i + length(v), 1) between '0' and '9'"
+    found = f"flatten(transform({starts}, i -> transform(filter({tried}, v -> v <> '' and {whole} and {valid}), v -> named_struct('w', -{score}, 's', i, 'e', i + length(v), 'v', v))))"
+    chosen = f"aggregate(array_sort({found}), cast(array() as array<struct<s:int,e:int,v:string>>), (t, x) -> if(exists(t, y -> y.s < x.e and x.s < y.e), t, concat(t, array(named_struct('s', x.s, 'e', x.e, 'v', x.v)))))"
+    item = lambda t, k: f"named_struct('t', {t}, 'k', {k})"
+    before = f"substr({m}, if(j = 0, 1, cs[j - 1].e), cs[j].s - if(j = 0, 1, cs[j - 1].e))"
+    pieces = f"flatten(transform(sequence(0, size(cs) - 1), j -> array({item(before, chr(39) * 2)}, {item(_let('cs[j].v', 'one', _card('one', key)), repr('card'))})))"
+    last = item(f"substr({m}, cs[size(cs) - 1].e)", "''")
+    return _let(f"array_sort({chosen})", "cs", f"if(size(cs) = 0, array({item(m, chr(39) * 2)}), concat({pieces}, array({last})))")
+
+
 def _iban(m: str, key: str) -> str:
     inner = permuted_digits(_digits("substr(b, 5)"), key, "iban")
     body = _let(_refill("substr(b, 5)", inner), "n", _let("concat(substr(b, 1, 2), '00', n)", "o", f"concat(substr(b, 1, 2), lpad(cast(98 - {mod97('o')} as string), 2, '0'), n)"))
@@ -144,40 +179,64 @@ def _secret(m: str, key: str) -> str:
     return f"concat('secret-', substr(sha2(concat_ws('|', '{key}', 'secret', {m}), 256), 1, 20))"
 
 
-_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "other_iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone}
 
 
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pseudonym(m: str, key: str) -> str:
-    """SQL: struct kind, put: what stands for the match m; kind is null and put is m if it is not valid."""
-    cases = " ".join(f"WHEN {m} rlike {_sql(f'^(?:{p})$')} THEN named_struct('kind', '{kind}', 'put', {_MAKERS[kind](m, key)})" for kind, p in PATTERNS.items())
-    made = f"CASE {cases} ELSE named_struct('kind', cast(null as string), 'put', {m}) END"
-    return _let(made, "w", f"if(w.put = {m}, named_struct('kind', cast(null as string), 'put', {m}), w)")
+def pseudonym(m: str, key: str, kinds: list[str]) -> str:
+    """SQL: what stands for the match m: items t, k (the kind; empty if t is left as it is)."""
+    cases = ""
+    for kind in kinds:
+        made = _cards(m, key) if kind == "card" else _let(_MAKERS[kind](m, key), "w", f"array(named_struct('t', w, 'k', if(w = {m}, '', '{kind.removeprefix('other_')}')))")
+        cases += f" WHEN {m} rlike {_sql(f'^(?:{PATTERNS[kind]})$')} THEN {made}"
+    return f"CASE{cases} ELSE array(named_struct('t', {m}, 'k', '')) END"
+
+
+def _scan(t: str, key: str, kinds: list[str]) -> str:
+    """SQL: the items of a text, in order; those between the matches have a null kind."""
+    any_ = _sql("|".join(f"(?:{PATTERNS[kind]})" for kind in kinds))
+    made = f"transform(regexp_extract_all({t}, {any_}, 0), m -> {pseudonym('m', key, kinds)})"
+    plain = "array(named_struct('t', a, 'k', cast(null as string)))"
+    return f"if({t} rlike '[0-9@=:]' and {t} rlike {any_}, flatten(zip_with(split({t}, {any_}, -1), {made}, (a, b) -> concat({plain}, coalesce(b, cast(array() as array<struct<t:string,k:string>>))))), {plain.replace("'t', a", f"'t', {t}")})"
+
+
+def _merged(items: str) -> str:
+    """SQL: items with all that is left between two values as one."""
+    at = f"concat(array(0), filter(sequence(1, size({items})), i -> {items}[i - 1].k <> ''), array(size({items}) + 1))"
+    text = f"array_join(transform(slice({items}, at[j - 1] + 1, at[j] - at[j - 1] - 1), x -> x.t), '')"
+    return _let(at, "at", f"flatten(transform(sequence(1, size(at) - 1), j -> concat(array(named_struct('t', {text}, 'k', cast(null as string))), slice({items}, at[j], 1))))")
 
 
-def pseudonymised(text: Column | str, key: str = DEFAULT_KEY) -> Column:
-    """struct text, found (kinds of the values replaced, in order). A null text stays null."""
+def pseudonymised(docs: DataFrame, text: str, key: str = DEFAULT_KEY) -> tuple[DataFrame, str]:
+    """docs and a struct column besides, with its name: text, found (kinds of the values replaced, in order). A null text stays null."""
     if not key.replace("-", "").isalnum():
         raise ValueError("a key has letters, digits and hyphens")
-    t = text if isinstance(text, str) else "text"
-    any_ = _sql(ANY)
-    put = f"transform(regexp_extract_all({t}, {any_}, 0), m -> {pseudonym('m', key)})"
-    joined = "array_join(zip_with(pieces, concat(made.put, array('')), (a, b) -> concat(a, b)), '')"
-    inner = _let(put, "made", _let(f"split({t}, {any_}, -1)", "pieces", f"named_struct('text', {joined}, 'found', filter(made.kind, k -> k is not null))"))
-    none = f"named_struct('text', {t}, 'found', cast(array() as array<string>))"
-    return F.expr(f"if({t} rlike '[0-9@=:]' and {t} rlike {any_}, {inner}, {none})")
+    name = "_pii"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    kinds = list(PATTERNS)
+    # one step a projection: an expression of all would be too deep for the analyser
+    out = docs.withColumn(name, F.expr(_scan(text, key, kinds)))
+    for gone in AGAIN:
+        kinds = [kind for kind in kinds if kind != gone]
+        again = f"flatten(transform({_merged(name)}, it -> if(it.k is null, {_scan('it.t', key, kinds)}, array(it))))"
+        out = out.withColumn(name, F.expr(f"if(exists({name}, it -> it.k = ''), {again}, {name})"))
+    joined = f"if({text} is null, cast(null as string), array_join(transform({name}, it -> it.t), ''))"
+    return out.withColumn(name, F.expr(f"named_struct('text', {joined}, 'found', transform(filter({name}, it -> it.k <> ''), it -> it.k))")), name
 
 
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """docs with its text column replaced; all other columns stay."""
-    return docs.withColumn(text_col, pseudonymised(f"`{text_col}`", key)["text"])
+    done, name = pseudonymised(docs, f"`{text_col}`", key)
+    return done.withColumn(text_col, F.col(f"{name}.text")).drop(name)
 
 
 def pseudonym_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """One row per row of docs: doc_id, text (pseudonymised; null stays null), n_found, kinds (distinct, sorted, comma-joined)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    done = rows.select("doc_id", pseudonymised("text", key).alias("s"))
-    return done.select("doc_id", F.col("s.text").alias("text"), F.size("s.found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("s.found")), ",").alias("kinds"))
+    done, name = pseudonymised(rows, "text", key)
+    found = F.col(f"{name}.found")
+    return done.select("doc_id", F.col(f"{name}.text").alias("text"), F.size(found).cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("kinds"))
