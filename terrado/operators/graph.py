@@ -5,27 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.sources.tables import ensure_checkpoint_dir
+from terrado.sources.tables import drop_table, materialize
 
-MAX_ROUNDS = 40
+MAX_ROUNDS = 60
+#: A node with more than this share of all links is a hub; there are twice as many of them at most as shares in the whole.
+HUB = 1 / 1000
+
+
+def _digest(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def _with_least(links: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
+    """links with the s that `found` (key, s, n: how many links have it) has for their key.
+
+    A hub's links would all be one task's, so hubs are broadcast; their number is bounded by HUB.
+    """
+    most = max(1000, int(total * HUB))
+    marked = links.join(F.broadcast(found.where(F.col("n") > most).select(key, "s")), key, "left")
+    rest = marked.where("s IS NULL").select("a", "b").join(found.where(F.col("n") <= most).select(key, "s"), key)
+    return marked.where("s IS NOT NULL").select("a", "b", "s").union(rest.select("a", "b", "s"))
 
 
 def connected_components(edges: DataFrame, a: str = "publicacion_id", b: str = "candidata_id", max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """node, component (smallest reachable node), by alternating large-star and small-star steps with checkpoints."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    links = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct().checkpoint()
-    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = digest(links)
+    """node, component (smallest reachable node) of all nodes of the edges, whose ends have an order and are not null.
+
+    Every round links each node's larger neighbours and then its smaller ones to
+    the smallest (large star, small star), which keeps the components and never
+    adds links. Rounds are written to the shared folder; only counts come to the
+    driver. Edges from a node to itself, repeated and reversed ones do no harm.
+    """
+    links = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    before = _digest(links)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = links.union(links.select("b", "a")).toDF("n", "m")
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("s"))
-        large = links.join(least, links.a == least.n).select(F.col("s").alias("a"), "b").where("a < b")
-        root = large.groupBy("b").agg(F.min("a").alias("s"))
-        small = large.join(root, "b").select(F.col("s").alias("a"), F.col("a").alias("b")).where("a < b").union(root.select(F.col("s").alias("a"), "b"))
-        links = small.distinct().checkpoint()
-        after = digest(links)
+        both = links.selectExpr("a AS n", "b AS m", "1L AS one").union(links.selectExpr("b AS n", "a AS m", "0L AS one"))
+        least = both.groupBy(F.col("n").alias("a")).agg(F.least(F.min("m"), F.first("n")).alias("s"), F.sum("one").alias("n")).where("n > 0")
+        large = materialize(_with_least(links, "a", least, before[0]).selectExpr("s AS a", "b").where("a < b").distinct())
+        root = large.groupBy("b").agg(F.min("a").alias("s"), F.count("*").alias("n"))
+        # a node's own link to the smallest, and those of its other smaller neighbours
+        small = _with_least(large, "b", root, before[0])
+        new = materialize(small.selectExpr("explode(array(struct(s AS a, b), struct(s AS a, a AS b))) AS link").select("link.a", "link.b").where("a < b").distinct())
+        drop_table(large)
+        drop_table(links)
+        links, after = new, _digest(new)
         if after == before:
             break
         before = after

@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own folder; a temporary one only where it names none, as in tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; a temporary one only where it names none, as in tests."""
     context = spark.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back, so that lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path  # noqa: SLF001
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    path = getattr(df, "_shared_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
