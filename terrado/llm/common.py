@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrado.sources.tables import drop_table, materialize, shared_dir  # noqa: F401
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word: ASCII letters and digits and everything beyond ASCII.
@@ -25,36 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it names none."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back, so that lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path  # noqa: SLF001
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -85,5 +56,14 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))

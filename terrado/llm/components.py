@@ -1,49 +1,12 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of links between documents: the library's own operator under the names used here."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from terrado.llm.common import drop_table, materialize
+from terrado.operators import graph
 
-MAX_ROUNDS = 60
 
-
-def _digest(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of the links, whose ends are comparable and not null.
-
-    Every round links each node's larger neighbours and then its smaller ones to
-    the smallest, which keeps the components and never adds links; rounds are
-    written to the shared folder. Only counts come to the driver. Rows that link
-    a node to itself, repeated and reversed links do no harm.
-    """
-    small, large = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    links = materialize(links.select(small.alias("a"), large.alias("b")).where("a < b").distinct())  # a < b
-    before = _digest(links)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        # large star: every neighbour larger than a node goes to the smallest of the node and its neighbours
-        both = links.select(F.col("a").alias("n"), F.col("b").alias("m")).union(links.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("s"))
-        large_star = links.select(F.col("a").alias("n"), "b").join(least, "n").select(F.col("s").alias("a"), "b").where("a < b")
-        # small star: a node and its smaller neighbours go to the smallest of them
-        smaller = large_star.groupBy("b").agg(F.min("a").alias("s"))
-        again = large_star.join(smaller, "b")
-        small_star = again.select(F.col("s").alias("a"), F.col("a").alias("b")).where("a < b").union(smaller.select(F.col("s").alias("a"), "b"))
-        new = materialize(small_star.distinct())
-        drop_table(links)
-        links, after = new, _digest(new)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (the smallest node reachable) for every node of the links."""
+    return graph.connected_components(links, a, b)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrado.llm.common import free_name
+
 #: Rounds of the network.
 ROUNDS = 8
 #: Dates from 1900-01-01 on that are permuted among themselves: 271 * 271 of them.
@@ -214,9 +216,7 @@ def pseudonymised(docs: DataFrame, text: str, key: str = DEFAULT_KEY) -> tuple[D
     """docs and a struct column besides, with its name: text, found (kinds of the values replaced, in order). A null text stays null."""
     if not key.replace("-", "").isalnum():
         raise ValueError("a key has letters, digits and hyphens")
-    name = "_pii"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, "pii")
     kinds = list(PATTERNS)
     # one step a projection: an expression of all would be too deep for the analyser
     out = docs.withColumn(name, F.expr(_scan(text, key, kinds)))

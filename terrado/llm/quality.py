@@ -164,8 +164,8 @@ def score_quality(
     """
     stats = materialize(document_statistics(docs, id_col, text_col))
     chosen = sample_labels(labels, label_col, folds, held_out, sample)
-    # the sample is bounded by `sample` ids; copies of an id count once
-    known = materialize(stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(4, "doc_id"))
+    # the sample is bounded by `sample` ids; of rows that repeat an id those of the smallest statistics count
+    known = materialize(stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "y", "part")).alias("one")).select("doc_id", "one.*").repartition(4, "doc_id"))
     mean, deviation = _moments(known)
     fourier = Fourier(mean, deviation, features, width)
     a, b, n = normal_equations(known.where(F.col("part") < FIT_PARTS), fourier)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import WORD_BYTES, materialize, slices, texts_of, utf8
+from terrado.llm.common import WORD_BYTES, drop_table, materialize, slices, texts_of, utf8
 from terrado.llm.labelled import fold, sample_labels
 
 # Insults, each a voter.
@@ -36,6 +36,8 @@ TIMES = (1, 2, 3)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 ROUNDS = 40
+#: Rows of the sample that the fit takes at a time, and columns of the classifier besides those of the voters.
+BLOCK, EXTRA = 1024, 5
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -109,59 +111,81 @@ class Voters:
 def votes(counts: np.ndarray, words: np.ndarray, n_lexicon: int) -> np.ndarray:
     """1 toxic, -1 clean, 0 none: a vote for each voter that has hits, and four voters that speak for a clean text."""
     hit = (counts > 0).astype(np.int8)
-    total = counts.sum(1)
+    total = counts.sum(1, dtype=float)
     clean = np.stack([hit[:, :n_lexicon].sum(1) == 0, hit[:, n_lexicon:].sum(1) == 0, total == 0, total * 200 < words], 1)
     return np.hstack([hit, -clean.astype(np.int8)])
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    """The rows a block at a time, so that only votes of one byte each are held for all of them."""
+    for at in range(0, n, BLOCK):
+        yield slice(at, at + BLOCK)
+
+
 class LabelModel:
     """Accuracies of voters and the class share by expectation maximisation; correlated voters share their weight."""
 
     def __init__(self, v: np.ndarray, share: float = 0.1, rounds: int = ROUNDS):
         n, m = v.shape
-        own = np.where((v != 0).any(0), np.where(v.sum(0) > 0, 1, -1), 0)  # voters vote one way only
-        fired = v != 0
-        q = np.clip(0.5 + 0.25 * v.sum(1), 0.02, 0.98) if n else np.zeros(0)
+        total, rate = v.sum(0, dtype=np.int64), np.count_nonzero(v, 0) / max(n, 1)
+        own = np.where(rate > 0, np.where(total > 0, 1, -1), 0)  # voters vote one way only
+        q = np.clip(0.5 + 0.25 * v.sum(1, dtype=np.int64), 0.02, 0.98)
         self.discount = np.ones(m)
         for step in range(rounds):
             self.share = float(np.clip((q.sum() + share) / (n + 1.0), 1e-3, 0.999))
             toxic, clean = max(q.sum(), 1e-9), max((1 - q).sum(), 1e-9)
-            rate = fired.mean(0) if n else np.zeros(m)
+            in_toxic, in_clean = np.zeros(m), np.zeros(m)
+            for at in _blocks(n):
+                fired = (v[at] != 0).astype(float)
+                in_toxic += q[at] @ fired
+                in_clean += (1 - q[at]) @ fired
             # a voter's prior: it fires five times as often in its own class
-            p1 = (q @ fired + 2 * np.clip(rate * np.where(own > 0, 1, 0.2), 1e-4, 1)) / (toxic + 2)
-            p0 = ((1 - q) @ fired + 2 * np.clip(rate * np.where(own > 0, 0.2, 1), 1e-4, 1)) / (clean + 2)
+            p1 = (in_toxic + 2 * np.clip(rate * np.where(own > 0, 1, 0.2), 1e-4, 1)) / (toxic + 2)
+            p0 = (in_clean + 2 * np.clip(rate * np.where(own > 0, 0.2, 1), 1e-4, 1)) / (clean + 2)
             self.p1, self.p0 = np.clip(p1, 1e-5, 1 - 1e-5), np.clip(p0, 1e-5, 1 - 1e-5)
             if step in (5, 15) and n > 1:
-                left = fired - np.outer(q, self.p1) - np.outer(1 - q, self.p0)
-                scale = np.sqrt(np.maximum((left**2).mean(0), 1e-9))
-                self.correlation = left.T @ left / n / np.outer(scale, scale)
+                together = np.zeros((m, m))
+                for at in _blocks(n):
+                    left = (v[at] != 0) - np.outer(q[at], self.p1) - np.outer(1 - q[at], self.p0)
+                    together += left.T @ left
+                scale = np.sqrt(np.maximum(np.diag(together) / n, 1e-9))
+                self.correlation = together / n / np.outer(scale, scale)
                 np.fill_diagonal(self.correlation, 0)
                 self.discount = 1 / (1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(1))
             q = self.posterior(v)
         self.accuracy = np.where(own > 0, self.p1 * self.share, self.p0 * (1 - self.share)) / np.maximum(self.p1 * self.share + self.p0 * (1 - self.share), 1e-12)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        fired = v != 0
-        weight = np.where(fired, np.log(self.p1 / self.p0), np.log((1 - self.p1) / (1 - self.p0)))
-        z = np.log(self.share / (1 - self.share)) + weight @ self.discount
+        silent = np.log((1 - self.p1) / (1 - self.p0)) * self.discount
+        more = np.log(self.p1 / self.p0) * self.discount - silent
+        z = np.empty(len(v))
+        for at in _blocks(len(v)):
+            z[at] = (v[at] != 0) @ more
+        z += np.log(self.share / (1 - self.share)) + silent.sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def design(counts: np.ndarray, words: np.ndarray, n_lexicon: int) -> np.ndarray:
     """Columns of the linear classifier: log counts by voter, log sums by family, log density, a constant."""
-    lexicon, pattern = counts[:, :n_lexicon].sum(1), counts[:, n_lexicon:].sum(1)
+    lexicon, pattern = counts[:, :n_lexicon].sum(1, dtype=float), counts[:, n_lexicon:].sum(1, dtype=float)
     total = lexicon + pattern
     more = [np.log1p(lexicon), np.log1p(pattern), np.log1p(100 * total / np.maximum(words, 1)), (total > 0).astype(float), np.ones(len(words))]
-    return np.hstack([np.log1p(counts), np.stack(more, 1)])
+    return np.hstack([np.log1p(counts, dtype=float), np.stack(more, 1)])
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the constant is not shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+def fit_linear(counts: np.ndarray, words: np.ndarray, n_lexicon: int, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, summed over blocks of rows; the constant is not shrunk."""
+    size = counts.shape[1] + EXTRA
+    w = np.zeros(size)
+    shrink = np.diag([ridge] * (size - 1) + [1e-6])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        change = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + shrink, x.T @ (target - p) - shrink @ w)
+        curve, slope = shrink.copy(), -shrink @ w
+        for at in _blocks(len(counts)):
+            x = design(counts[at], words[at], n_lexicon)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (p * (1 - p) + 1e-9)[:, None]).T @ x
+            slope += x.T @ (target[at] - p)
+        change = np.linalg.solve(curve, slope)
         w = w + np.clip(change, -4, 4)
         if np.abs(change).max() < 1e-6:
             break
@@ -191,7 +215,9 @@ class Scorer:
 def train(texts: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexicon: tuple[str, ...] = LEXICON, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Scorer:
     """A scorer from texts (doc_id, text) and labels, of which at most `sample` outside the held-out fold count."""
     chosen = sample_labels(labels, label_col, folds, held_out, sample)
-    known = materialize(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))  # at most `sample` ids
+    # of rows that repeat an id one counts, that of the smallest hash: at most `sample` rows
+    known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("one"))
+    known = materialize(known.select("doc_id", "one.text", "one.y"))
     voters = Voters(lexicon, mine_patterns(known))
     n_lexicon = len(lexicon)
 
@@ -199,17 +225,18 @@ def train(texts: DataFrame, labels: DataFrame, *, label_col: str = "toxic", lexi
         for batch in slices(batches):
             counts, words = _counted(batch.column(1), voters)
             rows = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(words, pa.float64())], names=["counts", "words"])
-
-    rows = known.select("doc_id", "text").mapInArrow(gather, "counts binary, words double").limit(2 * sample).collect()
-    counts = np.array([np.frombuffer(r["counts"], np.uint8) for r in rows], float).reshape(-1, voters.n)
-    words = np.array([r["words"] for r in rows])
-    if len(rows):
-        model = LabelModel(votes(counts, words, n_lexicon))
-        target = model.posterior(votes(counts, words, n_lexicon))
-        weights = fit_linear(design(counts, words, n_lexicon), target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(words, pa.float64())], names=["doc_id", "counts", "words"])
+
+    kind = known.schema["doc_id"].dataType.simpleString()
+    rows = known.select("doc_id", "text").mapInArrow(gather, f"doc_id {kind}, counts binary, words double").orderBy("doc_id").toArrow()
+    drop_table(known)
+    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, voters.n)
+    words = rows["words"].to_numpy()
+    if len(words):
+        v = np.vstack([votes(counts[at], words[at], n_lexicon) for at in _blocks(len(words))])
+        weights = fit_linear(counts, words, n_lexicon, LabelModel(v).posterior(v))
     else:
-        weights = np.zeros(voters.n + 5)
+        weights = np.zeros(voters.n + EXTRA)
         weights[-2:] = 3.0, -2.0  # any hit of the lexicon: 0.73
     return Scorer(voters, n_lexicon, weights)
 
@@ -231,7 +258,7 @@ def score_toxicity(
 
     Labels (which choose the pattern voters) are used only outside the held-out
     fold, from at most `sample` rows; the label model and the classifier see
-    those rows' texts. Null texts are scored as empty ones. Without labelled
+    those rows' texts (of rows that repeat an id the one of the smallest MD5). Null texts are scored as empty ones. Without labelled
     rows the lexicon alone votes.
     """
     texts = texts_of(docs, id_col, text_col)
