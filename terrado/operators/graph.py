@@ -12,8 +12,12 @@ MAX_ROUNDS = 60
 HUB = 1 / 1000
 
 
-def _digest(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _state(links: DataFrame) -> tuple[int, int]:
+    """Links, and nodes that are neither a root only nor a leaf of one root only."""
+    ends = links.selectExpr("b AS node", "1L AS leaf").union(links.selectExpr("a", "0L"))
+    nodes = ends.groupBy("node").agg(F.sum("leaf").alias("roots"), F.count("*").alias("n"))
+    found = nodes.agg(F.coalesce(F.sum("roots"), F.lit(0)), F.count_if((F.col("roots") > 1) | ((F.col("roots") == 1) & (F.col("n") > 1)))).first()
+    return found[0], found[1]
 
 
 def _with_least(links: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
@@ -36,24 +40,22 @@ def connected_components(edges: DataFrame, a: str = "publicacion_id", b: str = "
     driver. Edges from a node to itself, repeated and reversed ones do no harm.
     """
     links = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    before = _digest(links)
+    total, unsettled = _state(links)
     for _ in range(max_rounds):
-        if not before[0]:
+        if not unsettled:
             break
         both = links.selectExpr("a AS n", "b AS m", "1L AS one").union(links.selectExpr("b AS n", "a AS m", "0L AS one"))
         least = both.groupBy(F.col("n").alias("a")).agg(F.least(F.min("m"), F.first("n")).alias("s"), F.sum("one").alias("n")).where("n > 0")
-        large = materialize(_with_least(links, "a", least, before[0]).selectExpr("s AS a", "b").where("a < b").distinct())
+        large = materialize(_with_least(links, "a", least, total).selectExpr("s AS a", "b").where("a < b").distinct())
         root = large.groupBy("b").agg(F.min("a").alias("s"), F.count("*").alias("n"))
         # a node's own link to the smallest, and those of its other smaller neighbours
-        small = _with_least(large, "b", root, before[0])
+        small = _with_least(large, "b", root, total)
         new = materialize(small.selectExpr("explode(array(struct(s AS a, b), struct(s AS a, a AS b))) AS link").select("link.a", "link.b").where("a < b").distinct())
         drop_table(large)
         drop_table(links)
-        links, after = new, _digest(new)
-        if after == before:
-            break
-        before = after
-    else:
+        links = new
+        total, unsettled = _state(links)
+    if unsettled:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return members.union(links.select("a", "a").distinct())
