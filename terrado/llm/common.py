@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from terrado.sources.tables import drop_table, materialize, shared_dir  # noqa: F401
 
-
+#: Rows of 128-bit contents that are broadcast (some 100 bytes each).
+BROADCAST = 200_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word: ASCII letters and digits and everything beyond ASCII.
@@ -56,6 +57,16 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def content_of(text_col: str) -> Column:
+    """What stands for a text: its MD5, 128 bits; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
+
+
+def few(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A written table, marked for a broadcast if it has at most so many rows; else Spark joins it by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -3,8 +3,9 @@
 DataFrame functions only. Words are A-Z lower-cased runs of letters, digits and
 characters beyond ASCII; a window is WINDOW consecutive words of a benchmark
 item, or the whole item if it has fewer. Every window of a document is looked up
-by a hash of three of its words in a set that is part of the plan; what is found
-is verified by a join on the windows themselves.
+by a hash of three of its words, where the document is scanned: in a set that is
+part of the plan, or in a broadcast table if the set is large. Only what is found
+goes on, and is verified by a join on the windows themselves.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import WORD, ascii_lower, let, words
+from terrado.llm.common import ascii_lower, content_of, drop_table, few, free_name, let, materialize, words
 
 #: Words in a window.
 WINDOW = 10
-#: The hash set goes into the plan up to so many windows; beyond, windows are joined by shuffling.
-MAX_SET = 20_000
+#: The hash set is part of the plan up to so many windows and broadcast up to so many (8 bytes and their place in a hash table each);
+#: beyond, hashes and places of all document windows are shuffled, without their words.
+MAX_SET, MAX_BROADCAST = 20_000, 2_000_000
+#: A word before A-Z is lower-cased.
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -40,61 +44,69 @@ def find_contamination(
     item_text_col: str = "text",
     size: int = WINDOW,
     max_set: int = MAX_SET,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, hits (array of start, length in words), items (sorted strings).
 
-    Null texts have no words. Repeated rows are judged one by one. An empty benchmark hits nothing.
+    Null texts have no words. Repeated rows get a row each; what is found depends
+    on the text alone, so it is joined by the text's MD5. An empty benchmark hits nothing.
     """
-    grams = _with_probes(benchmark_windows(benchmark, item_col, item_text_col, size))
-    counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    small = sum(counts.values()) <= max_set
-    probes = _probes(grams) if small else {}
-
-    seen = F.expr(_seen(counts, probes if small else None))
-    rows = rows.select("_row", "doc_id", "text", seen.alias("s"))
-    exact = F.when(F.size("s.at") > 0, _exact("text", "s.at"))
-    at = rows.select("_row", "doc_id", F.col("s.n_words").alias("n_words"), F.explode_outer(exact).alias("c"))
-    sets = grams.select("window", "items")
-    at = at.select("_row", "doc_id", "n_words", F.col("c.i").alias("i"), F.col("c.length").alias("length"), F.col("c.window").alias("window"))
-    hits = at.join(F.broadcast(sets) if small else sets, "window", "left")
-    hit = F.col("items").isNotNull()
-    return hits.groupBy("_row", "doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_list(F.when(hit, F.struct(F.col("i").alias("start"), "length"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    ).drop("_row")
+    grams = materialize(_with_probes(benchmark_windows(benchmark, item_col, item_text_col, size)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), content_of(text_col).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    seen = materialize(_seen(rows, grams, max_set, max_broadcast))
+    report = few(materialize(_verified(seen, grams)))
+    drop_table(grams)
+    none = F.array().cast("array<struct<start:int,length:int>>"), F.array().cast("array<string>")
+    out = seen.join(report, "content", "left")
+    return out.select("doc_id", "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
 
 
-def _literal(number: int) -> str:
-    return f"{number}L" if number > -(2**63) else "(-9223372036854775807L - 1L)"
+def _verified(seen: DataFrame, grams: DataFrame) -> DataFrame:
+    """content, hits, items of the texts that have windows of the benchmark. seen: content, found (array of i, length, window)."""
+    at = seen.where("size(found) > 0").select("content", F.explode("found").alias("c")).select("content", "c.i", "c.length", "c.window")
+    hits = at.join(few(grams.select("window", "items")), "window")
+    return hits.groupBy("content").agg(F.collect_set(F.struct(F.col("i").alias("start"), "length")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
-def _probes(grams: DataFrame) -> dict[int, list[int]]:
-    """The hash set, by length; callers have checked its size."""
-    found: dict[int, list[int]] = {}
-    for r in grams.select("length", "probe").distinct().collect():
-        found.setdefault(r["length"], []).append(r["probe"])
-    return found
+def _literal(number: int) -> str:
+    return f"{number}L" if number > -(2**63) else "(-9223372036854775807L - 1L)"
 
 
-def _seen(counts: dict[int, int], probes: dict[int, list[int]] | None, text: str = "text") -> str:
-    """SQL: struct n_words, at (places where a window may stand; all without probes).
+def _seen(rows: DataFrame, grams: DataFrame, max_set: int, max_broadcast: int) -> DataFrame:
+    """rows (content, text and others) without text, with n_words and found: places whose hash is in the set (i, length, window).
 
-    Full lower-casing keeps the word boundaries and can only find more, and it
-    is cheap; what it finds is verified. The lambda binds the words, so that they
-    are taken once.
+    Words are lower-cased one by one for the hash, on both sides in full, which
+    is cheap and can only find more. The lambda binds the words, so that they are taken once.
     """
+    counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    others = [c for c in rows.columns if c != "text"]
+    total = sum(counts.values())
+    n_words = F.expr(f"cast(size(regexp_extract_all(coalesce(text, ''), r'{_RAW_WORD}', 0)) as long)").alias("n_words")
+    if not total:
+        return rows.select(*others, n_words, F.lit(None).cast("array<struct<i:int,length:int,window:string>>").alias("found"))
 
     def starts(length: int) -> str:
-        every = f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
-        if probes is not None:
-            listed = ", ".join(map(_literal, probes[length]))
-            every = f"filter({every}, i -> xxhash64(get(w, i), get(w, i + {length // 2}), get(w, i + {length - 1})) IN ({listed}))"
-        return f"transform({every}, i -> named_struct('i', i, 'length', {length}))"
+        return f"if(size(w) >= {length}, sequence(0, size(w) - {length}), cast(array() as array<int>))"
+
+    def probe(length: int) -> str:
+        return f"xxhash64(get(w, i), get(w, i + {length // 2}), get(w, i + {length - 1}))"
 
-    found = ", ".join(["cast(array() as array<struct<i:int,length:int>>)", *map(starts, sorted(counts))])
-    return f"transform(array(regexp_extract_all(lower(coalesce({text}, '')), r'{WORD}', 0)), w -> named_struct('n_words', cast(size(w) as long), 'at', concat({found})))[0]"
+    def over_words(body: str) -> str:
+        return f"transform(array(transform(regexp_extract_all(coalesce(text, ''), r'{_RAW_WORD}', 0), x -> lower(x))), w -> {body})[0]"
+
+    if total <= max_set:
+        listed: dict[int, list[str]] = {}
+        for r in grams.select("length", "probe").distinct().collect():  # at most max_set rows
+            listed.setdefault(r["length"], []).append(_literal(r["probe"]))
+        found = [f"transform(filter({starts(n)}, i -> {probe(n)} IN ({', '.join(x)})), i -> named_struct('i', i, 'length', {n}))" for n, x in sorted(listed.items())]
+        at = F.expr(over_words(f"named_struct('n_words', cast(size(w) as long), 'at', concat({', '.join(found)}))"))
+        marked = rows.select(*others, "text", at.alias("_s"))
+        return marked.select(*others, F.col("_s.n_words").alias("n_words"), F.when(F.size("_s.at") > 0, _exact("text", "_s.at")).alias("found"))
+    every = ", ".join(f"transform({starts(n)}, i -> named_struct('i', i, 'length', {n}, 'probe', {probe(n)}))" for n in sorted(counts))
+    places = rows.select("content", F.expr(f"inline({over_words(f'concat({every})')})"))
+    met = places.join(few(materialize(grams.select("length", "probe").distinct()), max_broadcast), ["length", "probe"])
+    at = materialize(met.groupBy("content").agg(F.collect_set(F.struct("i", "length")).alias("at")))
+    return rows.join(few(at), "content", "left").select(*others, n_words, F.when(F.col("at").isNotNull(), _exact("text", "at")).alias("found"))
 
 
 def _exact(text: str, at: str) -> Column:
@@ -103,30 +115,33 @@ def _exact(text: str, at: str) -> Column:
     return let(words(ascii_lower(F.col(text))), lambda w: F.transform(F.col(at), lambda c: place(w, c)))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    size: int = WINDOW,
+    max_set: int = MAX_SET,
+    max_broadcast: int = MAX_BROADCAST,
+) -> DataFrame:
     """docs without the rows whose text has a window of the benchmark; all columns stay, and rows without text.
 
-    Up to max_set windows the rows are judged where they are, without a shuffle.
+    The MD5s of the texts that go are broadcast up to a counted bound, so the kept rows are not shuffled.
     """
-    grams = _with_probes(benchmark_windows(benchmark, item_col, item_text_col, size))
-    counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    if not counts:
-        return docs
-    text = F.col(f"`{text_col}`").cast("string")
-    if sum(counts.values()) <= max_set:
-        listed = ", ".join("'" + r["window"].replace("\\", "\\\\").replace("'", "\\'") + "'" for r in grams.select("window").distinct().collect())
-        rows = docs.withColumn("_text", text).withColumn("_at", F.expr(_seen(counts, _probes(grams), "_text"))["at"])
-        rows = rows.withColumn("_windows", F.when(F.size("_at") > 0, _exact("_text", "_at")["window"]))
-        return rows.where(F.expr(f"NOT coalesce(exists(_windows, x -> x IN ({listed})), false)")).drop("_text", "_at", "_windows")
-    keyed = docs.withColumn("_content", F.xxhash64(F.coalesce(text, F.lit(""))))
-    report = find_contamination(keyed.select("_content", text.alias("text")), benchmark, id_col="_content", item_col=item_col, item_text_col=item_text_col, size=size, max_set=max_set)
-    hit = report.where(F.size("hits") > 0).select(F.col("doc_id").alias("_content")).distinct()
-    return keyed.join(hit, "_content", "left_anti").select(*docs.columns)
+    grams = materialize(_with_probes(benchmark_windows(benchmark, item_col, item_text_col, size)))
+    rows = docs.select(content_of(text_col).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    seen = _seen(rows, grams, max_set, max_broadcast).where("size(found) > 0").select("content", "found")
+    of = free_name(docs, "content")
+    gone = materialize(_verified(seen, grams).select(F.col("content").alias(of)))
+    drop_table(grams)
+    return docs.withColumn(of, content_of(text_col)).join(few(gone), of, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _with_probes(grams: DataFrame) -> DataFrame:
     of = lambda w: F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.expr("length div 2").cast("int")), F.get(w, F.col("length") - 1))
-    return grams.select("*", let(F.split(F.lower("window"), " "), of).alias("probe"))
+    return grams.select("*", let(F.transform(F.split("window", " "), F.lower), of).alias("probe"))
 
 
 def hit_words(hits: Column) -> Column:
