@@ -1,14 +1,19 @@
 """PII: format-preserving Feistel pseudonyms.
 
 DataFrame functions only. Validated numbers (payment cards, IBANs, phone and
-social security numbers, IPv4 addresses) and dates are permuted within their
-format by a keyed Feistel network, so a value has the same pseudonym wherever it
-stands and no two values share one. E-mail addresses and secrets have no number
-to permute; a keyed digest of theirs stands in their place.
+social security numbers, IPv4 addresses) and dates are permuted by a keyed
+Feistel network among the valid values of their format, so a value has the same
+pseudonym wherever it stands and no two values share one (an octet's leading
+zeros are spelling, not value). E-mail addresses and secrets have no number to
+permute; a keyed digest of theirs stands in their place. All patterns take time
+in proportion to the text: nothing but single characters and possessive groups
+repeats without a bound.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,10 @@ from terrado.llm.common import free_name
 ROUNDS = 8
 #: Dates from 1900-01-01 on that are permuted among themselves: 271 * 271 of them.
 DATE_SIDE = 271
-DEFAULT_KEY = "pseudonyms-1"
+#: Steps of a date's walk to the next one of its class; a class has over a third of the dates, so the odds that any walk is longer are 1e-14.
+WALK = 96
+#: Areas (1 to 899, not 666), groups and serials of a social security number.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 #: IBAN lengths by country.
 IBAN_LENGTHS = {
@@ -35,7 +43,7 @@ def _iban_of(length: int, countries: str) -> str:
 
 # The patterns, by kind; the first that fits at a place counts. A card's is the whole run of digit groups it may be in.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9-]))++[A-Za-z]{2,}|(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,})",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
     "iban": r"\b(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b",
     "other_iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -107,36 +115,43 @@ def mod97(iban: str) -> str:
 
 def _card(m: str, key: str) -> str:
     payload = permuted_digits("substr(c, 1, length(c) - 1)", key, "card")
+    # all zeros is no card, so what would become that takes the place that zeros would have
+    payload = _let(payload, "once", f"if(once rlike '^0+$', {permuted_digits('once', key, 'card')}, once)")
     check = f"cast((10 - {luhn_sum('z')} % 10) % 10 as string)"
     done = _let(payload, "q", f"concat(q, {_let('concat(q, ' + chr(39) + '0' + chr(39) + ')', 'z', check)})")
-    return _let(_digits(m), "c", f"if(length(c) between 13 and 19 and c not rlike '^0+$' and {luhn_sum('c')} % 10 = 0, {_refill(m, done)}, {m})")
+    return _let(_digits(m), "c", _refill(m, done))
 
 
 def _cards(m: str, key: str) -> str:
     """SQL: the items of a run of digit groups: its cards, which begin and end with a group, and what is between.
 
-    Of overlapping ones the usual lengths and first digits win, then the longer, then the first.
+    A card is 13 to 19 digits that pass Luhn. From each group the usual lengths and first digits
+    win, then the longer; from left to right, one that is not usual gives way to a usual one that begins in it.
     """
-    starts = f"filter(sequence(1, length({m})), i -> substr({m}, i, 1) between '0' and '9' and (i = 1 or not substr({m}, i - 1, 1) between '0' and '9'))"
-    tried = f"transform(sequence(13, 19), n -> regexp_extract(substr({m}, i, 37), concat('^[0-9](?:[ -]?[0-9]){{', n - 1, '}}(?![0-9])'), 0))"
+    head = "array_join(transform(slice(gs, j, 19), g -> substr(g, 1, 21)), '')"
+    tried = "transform(sequence(13, 19), n -> regexp_extract(h, concat('^[0-9](?:[ -]?[0-9]){', n - 1, '}(?![0-9])'), 0))"
     valid = _let(_digits("v"), "c", f"c not rlike '^0*$' and {luhn_sum('c')} % 10 = 0")
     score = _let(_digits("v"), "c", "length(c) + if(c rlike '^(?:[2-6][0-9]{15}|3[47][0-9]{13})$', 100, 0)")
-    # the lookahead in `tried` does not see a group that the 37 characters cut
-    whole = f"not substr({m}, i + length(v), 1) between '0' and '9'"
-    found = f"flatten(transform({starts}, i -> transform(filter({tried}, v -> v <> '' and {whole} and {valid}), v -> named_struct('w', -{score}, 's', i, 'e', i + length(v), 'v', v))))"
-    chosen = f"aggregate(array_sort({found}), cast(array() as array<struct<s:int,e:int,v:string>>), (t, x) -> if(exists(t, y -> y.s < x.e and x.s < y.e), t, concat(t, array(named_struct('s', x.s, 'e', x.e, 'v', x.v)))))"
-    item = lambda t, k: f"named_struct('t', {t}, 'k', {k})"
-    before = f"substr({m}, if(j = 0, 1, cs[j - 1].e), cs[j].s - if(j = 0, 1, cs[j - 1].e))"
-    pieces = f"flatten(transform(sequence(0, size(cs) - 1), j -> array({item(before, chr(39) * 2)}, {item(_let('cs[j].v', 'one', _card('one', key)), repr('card'))})))"
-    last = item(f"substr({m}, cs[size(cs) - 1].e)", "''")
-    return _let(f"array_sort({chosen})", "cs", f"if(size(cs) = 0, array({item(m, chr(39) * 2)}), concat({pieces}, array({last})))")
+    one = f"named_struct('w', {score}, 'c', size(regexp_extract_all(v, '[0-9]++', 0)), 'v', v)"
+    best = f"transform(sequence(1, size(gs)), j -> {_let(head, 'h', f'array_max(transform(filter({tried}, v -> length(v) > 0 and {valid}), v -> {one}))')})"
+    yields = "best[j - 1].w < 100 and exists(slice(best, j + 1, best[j - 1].c - 1), x -> x.w >= 100)"
+    taken = "named_struct('p', j + best[j - 1].c, 'o', concat(t.o, array(named_struct('s', j, 'e', j + best[j - 1].c, 'v', best[j - 1].v))))"
+    none = "named_struct('p', 1, 'o', cast(array() as array<struct<s:int,e:int,v:string>>))"
+    chosen = f"aggregate(sequence(1, size(gs)), {none}, (t, j) -> if(j < t.p or best[j - 1] is null or {yields}, t, {taken}), t -> t.o)"
+    # what parts the last group of a card from the next group comes after the card
+    after = "if(k = 0, '', regexp_extract(gs[cs[k - 1].e - 2], '[ -]$', 0))"
+    plain = lambda e: f"named_struct('t', concat({after}, array_join(slice(gs, if(k = 0, 1, cs[k - 1].e), {e} - if(k = 0, 1, cs[k - 1].e)), '')), 'k', '')"
+    card = f"named_struct('t', {_let('cs[k].v', 'one', _card('one', key))}, 'k', 'card')"
+    pieces = f"flatten(transform(sequence(0, size(cs)), k -> if(k = size(cs), array({plain('size(gs) + 1')}), array({plain('cs[k].s')}, {card}))))"
+    whole = f"if(size(cs) = 0, array(named_struct('t', {m}, 'k', '')), {pieces})"
+    return _let(f"regexp_extract_all({m}, '[0-9]++[ -]?', 0)", "gs", _let(best, "best", _let(chosen, "cs", whole)))
 
 
 def _iban(m: str, key: str) -> str:
     inner = permuted_digits(_digits("substr(b, 5)"), key, "iban")
     body = _let(_refill("substr(b, 5)", inner), "n", _let("concat(substr(b, 1, 2), '00', n)", "o", f"concat(substr(b, 1, 2), lpad(cast(98 - {mod97('o')} as string), 2, '0'), n)"))
     spaced = f"aggregate(sequence(1, length({m})), named_struct('o', '', 'k', 1), (s, i) -> if(substr({m}, i, 1) = ' ', named_struct('o', concat(s.o, ' '), 'k', s.k), named_struct('o', concat(s.o, substr(nb, s.k, 1)), 'k', s.k + 1)), s -> s.o)"
-    valid = f"length(b) between 15 and 34 and length({_digits('substr(b, 5)')}) between 2 and 30 and {mod97('b')} = 1"
+    valid = f"length(b) between 15 and 34 and substr(b, 3, 2) between '02' and '98' and length({_digits('substr(b, 5)')}) between 2 and 30 and {mod97('b')} = 1"
     return _let(f"replace({m}, ' ', '')", "b", f"if({valid}, {_let(body, 'nb', spaced)}, {m})")
 
 
@@ -147,8 +162,11 @@ def _phone(m: str, key: str) -> str:
 
 
 def _ssn(m: str, key: str) -> str:
+    area, group, serial = (f"cast(substr({m}, {at}) as bigint)" for at in ("1, 3", "5, 2", "8"))
     valid = f"substr({m}, 1, 3) not in ('000', '666') and substr({m}, 1, 1) <> '9' and substr({m}, 5, 2) <> '00' and substr({m}, 8) <> '0000'"
-    return f"if({valid}, {_refill(m, permuted_digits(_digits(m), key, 'ssn'))}, {m})"
+    mixed = feistel(f"({area} - if({area} > 666, 2, 1)) * {GROUPS} + {group} - 1", f"{serial} - 1", str(AREAS * GROUPS), str(SERIALS), key, "'ssn'")
+    shown = f"concat(lpad(cast(p.l div {GROUPS} + if(p.l div {GROUPS} >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(p.l % {GROUPS} + 1 as string), 2, '0'), '-', lpad(cast(p.r + 1 as string), 4, '0'))"
+    return f"if({valid}, {_let(mixed, 'p', shown)}, {m})"
 
 
 def _ip(m: str, key: str) -> str:
@@ -160,17 +178,20 @@ def _ip(m: str, key: str) -> str:
 
 
 def _date(m: str, key: str) -> str:
+    """Dates with a day to 12 and those with a later one are permuted apart, so 03/14/2001 never becomes what could be read day first."""
     first = "date'1900-01-01'"
     n = DATE_SIDE * DATE_SIDE
-    mixed = feistel(f"dd div {DATE_SIDE}", f"dd % {DATE_SIDE}", str(DATE_SIDE), str(DATE_SIDE), key, "'date'")
+    late = lambda d: f"(day(date_add({first}, cast({d} as int))) > 12)"
+    mixed = feistel(f"s.d div {DATE_SIDE}", f"s.d % {DATE_SIDE}", str(DATE_SIDE), str(DATE_SIDE), key, "'date'")
+    step = _let(_let(mixed, "p", f"p.l * {DATE_SIDE} + p.r"), "nx", f"named_struct('d', nx, 'k', {late('nx')} = {late('dd')})")
+    # the walk ends at the next date of the same class; the lambda of feistel() names its own state s and k
+    walked = f"aggregate(sequence(1, {WALK}), named_struct('d', cast(dd as bigint), 'k', false), (w, i) -> if(w.k, w, {_let('w', 's', step)}), w -> w.d)"
     layouts = [("substr({m}, 5, 1) = '-'", "yyyy-MM-dd")] + [(f"substr({{m}}, 3, 1) = '{sep}'", layout) for sep in "/." for layout in (f"dd{sep}MM{sep}yyyy", f"MM{sep}dd{sep}yyyy")]
-    out = m
-    for test, layout in reversed(layouts):
-        day = f"datediff(to_date(try_to_timestamp({m}, '{layout}')), {first})"
-        put = _let(mixed, "p", f"date_format(date_add({first}, cast(p.l * {DATE_SIDE} + p.r as int)), '{layout}')")
-        fits = f"{test.format(m=m)} and try_to_timestamp({m}, '{layout}') is not null"
-        out = f"if({fits}, {_let(day, 'dd', f'if(dd >= 0 and dd < {n}, {put}, {m})')}, {out})"
-    return out
+    # the layout is found first, so that the walk stands in the plan once
+    layout = "CASE" + "".join(f" WHEN {test.format(m=m)} AND try_to_timestamp({m}, '{x}') IS NOT NULL THEN '{x}'" for test, x in layouts) + " END"
+    day = f"datediff(to_date(try_to_timestamp({m}, f)), {first})"
+    shown = f"date_format(date_add({first}, cast({walked} as int)), f)"
+    return _let(layout, "f", f"if(f is null, {m}, {_let(day, 'dd', f'if(dd >= 0 and dd < {n}, {shown}, {m})')})")
 
 
 def _email(m: str, key: str) -> str:
@@ -205,36 +226,41 @@ def _scan(t: str, key: str, kinds: list[str]) -> str:
     return f"if({t} rlike '[0-9@=:]' and {t} rlike {any_}, flatten(zip_with(split({t}, {any_}, -1), {made}, (a, b) -> concat({plain}, coalesce(b, cast(array() as array<struct<t:string,k:string>>))))), {plain.replace("'t', a", f"'t', {t}")})"
 
 
-def _merged(items: str) -> str:
-    """SQL: items with all that is left between two values as one."""
-    at = f"concat(array(0), filter(sequence(1, size({items})), i -> {items}[i - 1].k <> ''), array(size({items}) + 1))"
-    text = f"array_join(transform(slice({items}, at[j - 1] + 1, at[j] - at[j - 1] - 1), x -> x.t), '')"
-    return _let(at, "at", f"flatten(transform(sequence(1, size(at) - 1), j -> concat(array(named_struct('t', {text}, 'k', cast(null as string))), slice({items}, at[j], 1))))")
+def _merged(items: str, key: str) -> str:
+    """SQL: items with all that is left between two values as one. A part of the key's digest, which no text holds, stands for a value meanwhile."""
+    mark = f"'<{key[:24]}>'"
+    text = f"array_join(transform({items}, it -> if(it.k <> '', {mark}, it.t)), '')"
+    plain = "array(named_struct('t', a, 'k', cast(null as string)))"
+    return f"flatten(zip_with(split({text}, {mark}, -1), filter({items}, it -> it.k <> ''), (a, b) -> if(b is null, {plain}, concat({plain}, array(b)))))"
+
 
+def pseudonymised(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, str]:
+    """docs and a struct column besides, with its name: text, found (kinds of the values replaced, in order). A null text stays null.
 
-def pseudonymised(docs: DataFrame, text: str, key: str = DEFAULT_KEY) -> tuple[DataFrame, str]:
-    """docs and a struct column besides, with its name: text, found (kinds of the values replaced, in order). A null text stays null."""
-    if not key.replace("-", "").isalnum():
-        raise ValueError("a key has letters, digits and hyphens")
+    The plan holds a digest of the key, from which the pseudonyms can be made as well as from the key: keep event logs as safe as the key.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    key = hashlib.sha256(key.encode()).hexdigest()
     name = free_name(docs, "pii")
     kinds = list(PATTERNS)
     # one step a projection: an expression of all would be too deep for the analyser
     out = docs.withColumn(name, F.expr(_scan(text, key, kinds)))
     for gone in AGAIN:
         kinds = [kind for kind in kinds if kind != gone]
-        again = f"flatten(transform({_merged(name)}, it -> if(it.k is null, {_scan('it.t', key, kinds)}, array(it))))"
+        again = f"flatten(transform({_merged(name, key)}, it -> if(it.k is null, {_scan('it.t', key, kinds)}, array(it))))"
         out = out.withColumn(name, F.expr(f"if(exists({name}, it -> it.k = ''), {again}, {name})"))
     joined = f"if({text} is null, cast(null as string), array_join(transform({name}, it -> it.t), ''))"
     return out.withColumn(name, F.expr(f"named_struct('text', {joined}, 'found', transform(filter({name}, it -> it.k <> ''), it -> it.k))")), name
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text column replaced; all other columns stay."""
     done, name = pseudonymised(docs, f"`{text_col}`", key)
     return done.withColumn(text_col, F.col(f"{name}.text")).drop(name)
 
 
-def pseudonym_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonym_report(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text (pseudonymised; null stays null), n_found, kinds (distinct, sorted, comma-joined)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     done, name = pseudonymised(rows, "text", key)

@@ -10,6 +10,14 @@ from terrado.llm import decontam, licenses, packing, pii, quality, simhash, suff
 from terrado.llm.common import table
 
 
+#: The queries' pseudonyms are made with the session's key, or with this public one where it has none.
+PII_KEY_SETTING, PUBLIC_KEY = "spark.terrado.pii.key", "public key of the example queries"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY_SETTING, PUBLIC_KEY)
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -31,7 +39,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonym_report(table(spark, sf_dir, "documents"))
+    return pii.pseudonym_report(table(spark, sf_dir, "documents"), key=pii_key(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 import re
@@ -239,11 +240,36 @@ def test_top_k_is_exact(spark, block):
     for q in range(0, len(x), 50):
         s = sorted(((-int(z[q] @ z[c]), c) for c in range(len(x)) if c != q))[:5]
         expected |= {(q, r, c, -p) for r, (p, c) in enumerate(s, 1)}
-    out = topk.top_k(frame, block=block, query_block=3)
+    out = topk.top_k(frame, block=block, query_block=3, cell=block)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()} == expected
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_trees_and_cells_are_pruned(spark):
+    """Forty tight clusters on a sphere: most candidates are never compared, in a block and between cells."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = np.floor(2000 * np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 100, 0) + rng.normal(size=(4000, 32))).astype(np.int64)
+    asked = np.arange(0, 4000, 50)
+    found = topk.Search(x[asked], asked, x, np.arange(4000)).run()
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -(2**60)
+    for i, row in enumerate(scores):
+        assert list(found.best[i]) == sorted(range(4000), key=lambda c: (-row[c], c))[:5]
+    assert found.compared < 0.2 * len(asked) * 4000
+    rows = spark.createDataFrame([(int(i), i, 32, [int(c) for c in v]) for i, v in enumerate(x)], "row long, id long, d int, v array<long>")
+    pivots = topk.Pivots([list(v) for v in x[:: 4000 // 40]])
+    placed = topk.placed_rows(rows, pivots)
+    cells = placed.groupBy("d", F.col("cell").alias("c")).agg(F.max("far").alias("c_far"))
+    pairs = topk.cell_pairs(cells.selectExpr("d", "c AS q", "c_far AS q_far"), cells, pivots)
+    assert pairs.count() == 1600 and pairs.where("top >= 2000D * 1900").count() < 200
+
+
+def test_vectors_too_long_for_a_long(spark):
+    with pytest.raises(ArithmeticError):
+        topk.top_k(spark.createDataFrame([(0, [1e18, 1.0]), (1, [-1e18, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(1).normal(size=(700, 4))
     x[300:400] = x[0]
@@ -312,7 +338,7 @@ def test_matching_statistics_equal_brute_force():
 
 
 def put(spark, text):
-    return pii.pseudonym_report(docs(spark, [(1, text)])).first()
+    return pii.pseudonym_report(docs(spark, [(1, text)]), key="k").first()
 
 
 def luhn(digits: str) -> bool:
@@ -358,7 +384,7 @@ def test_values_beside_digits_and_capitals(spark):
         f"AB12 3456 7890 {iban}": (iban, "iban"),
         "1984-02-29T10:00": ("1984-02-29", "date"),
     }
-    found = {r.doc_id: r for r in pii.pseudonym_report(docs(spark, list(enumerate(texts)))).collect()}
+    found = {r.doc_id: r for r in pii.pseudonym_report(docs(spark, list(enumerate(texts))), key="k").collect()}
     for i, (text, (value, kinds)) in enumerate(texts.items()):
         assert value not in found[i].text and found[i].kinds == kinds, (text, found[i].text)
         assert [c for c in found[i].text if not c.isalnum()] == [c for c in text if not c.isalnum()]
@@ -375,12 +401,39 @@ def test_secrets_and_addresses_go(spark):
 
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "5555 5555 5555 4444"), (3, "5555 5555 5555 4444"), (4, "x " * 100_000 + "10.1.2.3"), (None, "10.1.2.3")]
-    out = pii.pseudonym_report(docs(spark, rows, clash=True)).collect()
+    out = pii.pseudonym_report(docs(spark, rows, clash=True), key="k").collect()
     assert len(out) == len(rows) and {r.text for r in out if r.doc_id == 1} == {None}
     assert len({r.text for r in out if r.doc_id == 3}) == 1
     assert next(r.text for r in out if r.doc_id == 4).endswith(next(r.text for r in out if r.doc_id is None))
-    assert pii.pseudonymise(docs(spark, rows, clash=True)).columns == docs(spark, [], clash=True).columns
-    assert pii.pseudonym_report(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, rows, clash=True), key="k").columns == docs(spark, [], clash=True).columns
+    assert pii.pseudonym_report(docs(spark, []), key="k").count() == 0
+
+
+def test_very_long_runs(spark):
+    """Neither deep recursion nor time beyond the text's length."""
+    texts = ["a@" + "b." * 100_000 + "com", "1 " + "a" * 1_000_000, "7" * 1_000_000, "1 " * 50_000 + "4111 1111 1111 1111", "x@" * 200_000, "+1" * 200_000, "A1" * 200_000, "GB82 " * 100_000, "token=" + "z" * 500_000, "1.2." * 200_000, "a@b.com.1 x.y@m.b.org.2", "(415" * 100_000]
+    found = {r.doc_id: r for r in pii.pseudonym_report(docs(spark, list(enumerate(texts))), key="k").collect()}
+    assert found[0].kinds == "email" and len(found[0].text) < 50
+    assert found[1].text == texts[1] and found[2].text == texts[2]
+    assert "4111 1111 1111 1111" not in found[3].text and len(found[3].text) == len(texts[3])
+    assert found[8].kinds == "secret" and found[10].n_found == 2 and "b.com" not in found[10].text
+
+
+def test_dates_and_numbers_stay_apart(spark):
+    days = [(i, f"{d:%d/%m/%Y}" if i % 2 else f"{d:%m/%d/%Y}") for i, d in enumerate(datetime.date(1900, 1, 1) + datetime.timedelta(k // 2) for k in range(2 * 73_441))]
+    texts = sorted({t for _, t in days})
+    rows = [(k, " ".join(texts[k : k + 100])) for k in range(0, len(texts), 100)]
+    out = [x for r in pii.pseudonym_report(docs(spark, rows), key="k").collect() for x in r.text.split()]
+    assert len(out) == len(texts) == len(set(out)) and set(out) <= set(texts)
+    rng = random.Random(4)
+    ssns = sorted({f"{rng.choice([1, 665, 667, 899, rng.randrange(1, 666)]):03d}-{rng.choice([1, 99, 50]):02d}-{rng.choice([1, 9999, rng.randrange(1, 10_000)]):04d}" for _ in range(20_000)})
+    rows = [(k, " ".join(ssns[k : k + 100])) for k in range(0, len(ssns), 100)]
+    out = [x for r in pii.pseudonym_report(docs(spark, rows), key="k").collect() for x in r.text.split()]
+    assert len(set(out)) == len(ssns) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
+    card = lambda k: (p := f"{4 * 10**14 + k}") + next(c for c in "0123456789" if luhn(p + c))
+    cards = [card(k * 7919) for k in range(3000)]
+    out = [r.text for r in pii.pseudonym_report(docs(spark, list(enumerate(cards))), key="k").collect()]
+    assert len(set(out)) == len(cards) and all(luhn(x) and len(x) == 16 for x in out)
 
 
 def test_feistel_is_a_permutation(spark):
@@ -394,13 +447,13 @@ def test_feistel_is_a_permutation(spark):
 # 7 ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("max_set", [20_000, 0])
-def test_contamination_equals_brute_force(spark, max_set):
-    items = [*enumerate(sentences(11, 25)), (90, None), (91, "--"), (92, "Único día"), (93, "it's \\ here's"), (94, sentences(11, 1)[0])]
+@pytest.mark.parametrize(("max_set", "max_broadcast"), [(20_000, 0), (0, 20_000), (0, 0)])
+def test_contamination_equals_brute_force(spark, max_set, max_broadcast):
+    items = [*enumerate(sentences(11, 25)), (90, None), (91, "--"), (92, "Único día"), (93, "it's \\ here's"), (94, sentences(11, 1)[0]), (95, "ΟΔΟΣ Α ΒΓ")]
     rng = random.Random(3)
     texts = sentences(12, 60)
     rows = [(i, t + " " + rng.choice(items)[1].upper().replace(" ", "\n") if i % 3 == 0 and rng.choice([1, 0]) else t) for i, t in enumerate(texts) if (rng.seed(i) or True)]
-    rows = [(i, t) for i, t in rows if t] + [(200, None), (201, ""), (202, "x ÚNICO día y"), (203, "ÚNICO DÍA"), (204, "único día"), (0, rows[0][1]), (205, "w " * 30_000 + "it's \\ here's")]
+    rows = [(i, t) for i, t in rows if t] + [(200, None), (201, ""), (202, "x ÚNICO día y"), (203, "ÚNICO DÍA"), (204, "único día"), (0, rows[0][1]), (206, "x ΟΔΟΣ.Α'ΒΓ y"), (205, "w " * 30_000 + "it's \\ here's")]
     windows = defaultdict(set)
     for k, t in items:
         w = word_list(t)
@@ -418,13 +471,13 @@ def test_contamination_equals_brute_force(spark, max_set):
                     found |= names
         expected.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, window int")
-    out = decontam.contamination_report(docs(spark, rows, clash=True), benchmark, max_set=max_set)
+    out = decontam.contamination_report(docs(spark, rows, clash=True), benchmark, max_set=max_set, max_broadcast=max_broadcast)
     assert sorted(map(tuple, out.collect())) == sorted(expected)
-    kept = decontam.drop_contaminated(docs(spark, rows, clash=True), benchmark, max_set=max_set)
+    kept = decontam.drop_contaminated(docs(spark, rows, clash=True), benchmark, max_set=max_set, max_broadcast=max_broadcast)
     assert kept.columns == docs(spark, [], clash=True).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(e[0] for e in expected if not e[-1])
-    assert decontam.contamination_report(docs(spark, rows), benchmark.limit(0), max_set=max_set).where("contaminated").count() == 0
-    assert decontam.contamination_report(docs(spark, []), benchmark, max_set=max_set).count() == 0
+    assert decontam.contamination_report(docs(spark, rows), benchmark.limit(0), max_set=max_set, max_broadcast=max_broadcast).where("contaminated").count() == 0
+    assert decontam.contamination_report(docs(spark, []), benchmark, max_set=max_set, max_broadcast=max_broadcast).count() == 0
 
 
 # 8 ---------------------------------------------------------------------------------------------
