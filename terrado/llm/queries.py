@@ -95,7 +95,7 @@ FROM docs d LEFT JOIN hit_words h USING (row) LEFT JOIN hit_items t USING (row)
 
 
 def _op1_sql() -> str:
-    """The rules as a CASE, the longest first, and the rounds of the propagation as one common table each."""
+    """The rules as a CASE, the longest first, and the rounds of the propagation as one table each."""
     host_path = [r"regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', {}, 's')".format(i) for i in (1, 2)]
     cases = {"rule": "", "decided": ""}
     for verdict, rule in sorted(url_filters.RULES, key=lambda r: -len(r[1])):
@@ -105,23 +105,27 @@ def _op1_sql() -> str:
         cases["decided"] += f" WHEN {fits} THEN '{verdict}'"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = r"<a\s[^>]*?href\s*=\s*[\"'']?\s*(?:https?:)?//([^/?#\"''\s>]+)"
-    rounds = "".join(
+    damping, rounds = url_filters.DAMPING, url_filters.rounds_for(url_filters.DAMPING, url_filters.TOLERANCE)
+    steps = "".join(
         f""",
-r{k} AS (SELECT host, kind, sum(score) AS score FROM (SELECT host, kind, seed * {1 - url_filters.DAMPING} AS score FROM seeds UNION ALL
-  SELECT e.dst, r.kind, r.score * e.share * {url_filters.DAMPING} FROM r{k - 1} r JOIN shares e ON e.src = r.host AND e.kind = r.kind) GROUP BY ALL)"""
-        for k in range(1, url_filters.ROUNDS + 1)
+r{k} AS MATERIALIZED (SELECT host, kind, sum(score) AS score FROM (
+  SELECT s.host, s.kind, seed * {1 - damping} + seed / whole * {damping} * coalesce(idle, 0) AS score FROM seeds s JOIN wholes USING (kind) LEFT JOIN (
+    SELECT kind, sum(score) AS idle FROM r{k - 1} r WHERE NOT EXISTS (SELECT 1 FROM shares e WHERE e.src = r.host AND e.kind = r.kind) GROUP BY kind) USING (kind)
+  UNION ALL SELECT e.dst, r.kind, r.score * e.share * {damping} FROM r{k - 1} r JOIN shares e ON e.src = r.host AND e.kind = r.kind) GROUP BY ALL)"""
+        for k in range(1, rounds + 1)
     )
     return f"""
 WITH p AS (SELECT page_id, {low.format(host_path[0])} AS host, {host_path[1]} AS path, html FROM pages),
-judged AS (SELECT page_id, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["decided"]} END AS decided FROM p),
-hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE decided = 'allow') AS a, count(*) FILTER (WHERE decided = 'block') AS b FROM judged WHERE host <> '' GROUP BY host),
-seeds AS (SELECT host, 'trust' AS kind, a / CAST(n AS DOUBLE) AS seed FROM hosts WHERE a > b UNION ALL SELECT host, 'distrust', b / CAST(n AS DOUBLE) FROM hosts WHERE b * 2 > n),
+judged AS MATERIALIZED (SELECT page_id, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["decided"]} END AS decided FROM p),
+hosts AS MATERIALIZED (SELECT host, count(*) AS n, count(*) FILTER (WHERE decided = 'allow') AS a, count(*) FILTER (WHERE decided = 'block') AS b FROM judged WHERE host <> '' GROUP BY host),
+seeds AS MATERIALIZED (SELECT host, 'trust' AS kind, a / CAST(n AS DOUBLE) AS seed FROM hosts WHERE a > 0 UNION ALL SELECT host, 'distrust', b / CAST(n AS DOUBLE) FROM hosts WHERE b * 2 > n),
 found AS (SELECT host AS src, {low.format("dst")} AS dst FROM p, LATERAL unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1, 'is')) AS t(dst) WHERE host <> ''),
-links AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst AND dst <> '' GROUP BY ALL),
-shares AS (SELECT 'trust' AS kind, src, dst, n / CAST(sum(n) OVER (PARTITION BY src) AS DOUBLE) AS share FROM links
+links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst AND dst <> '' GROUP BY ALL),
+shares AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / CAST(sum(n) OVER (PARTITION BY src) AS DOUBLE) AS share FROM links
   UNION ALL SELECT 'distrust', dst, src, n / CAST(sum(n) OVER (PARTITION BY dst) AS DOUBLE) FROM links),
-r0 AS (SELECT host, kind, seed AS score FROM seeds){rounds},
-scores AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{url_filters.ROUNDS} GROUP BY host)
+wholes AS MATERIALIZED (SELECT kind, sum(seed) AS whole FROM seeds GROUP BY kind),
+r0 AS MATERIALIZED (SELECT host, kind, seed AS score FROM seeds){steps},
+scores AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(decided, CASE WHEN coalesce(d, 0) > coalesce(t, 0) * {url_filters.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN scores USING (host)"""
 
