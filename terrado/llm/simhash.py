@@ -65,11 +65,12 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
 
     64 bits are cut into two halves, of which one differs by a bit at most; each
     half is indexed under its 32 one-wildcard variants. A bucket of two is a
-    pair to verify. The members of larger buckets are taken out and linked
-    exactly without pairs: two fingerprints differ by at most two bits if and
-    only if some value is within one bit of both, so each joins the smallest
-    that shares a value of its 65 neighbours. All links are between
-    fingerprints at the distance or joined by such a value, so none is false.
+    pair to verify. In larger buckets all pairs would be too many, so their
+    members are linked by whole-fingerprint variants, which decide exactly: two
+    fingerprints differ by at most two bits if and only if some value is within
+    one bit of both, so each joins the smallest that shares a value of its 65
+    neighbours. All links are between fingerprints at the distance or joined by
+    such a value, so none is false.
     """
     if distance > 2:
         raise ValueError("two halves with one wildcard each find at most two differing bits")
@@ -78,12 +79,10 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     variants = distinct.selectExpr("fp", bit).selectExpr(
         "fp", "xxhash64(bit, (fp & (if(bit < 32, 4294967295L, -4294967296L))) & ~shiftleft(1L, bit)) AS key"
     )
-    # one exchange finds the buckets and their members; a key holds one of each fingerprint's 64 rows at most
-    bucket = Window.partitionBy("key")
-    met = variants.select("fp", F.count("*").over(bucket).alias("n"), F.min("fp").over(bucket).alias("a")).where("n > 1")
-    met = materialize(met.distinct())
-    pairs = met.where((F.col("n") == 2) & (F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance)).select("a", F.col("fp").alias("b"))
-    crowded = met.where("n > 2").select("fp").distinct()
+    # a bucket is summed up where its rows are, so one that holds very many is no single task's
+    buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    pairs = buckets.where(F.col("n") == 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    crowded = materialize(variants.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct())
     return pairs.union(_neighbour_links(crowded, distance))
 
 
