@@ -10,8 +10,9 @@ runs of a group are sorted as suffixes that start at the anchor: a mergesort who
 find common extensions by binary search over prefix polynomial hashes, verified
 on the bytes. They are sorted to the left of the anchor likewise, and neighbours
 in both orders give the windows that stand elsewhere. Groups of more than CROWD
-different contexts are not sorted in a task: their windows are counted by a hash
-of 128 bits, without a cap.
+different contexts are not sorted in a task, as their neighbours may be many:
+their windows are counted by a digest of 128 bits (BLAKE2), without a cap. Whole
+contexts are compared by such a digest, too.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from terrado.llm.common import drop_table, materialize, slices, texts_of, utf8
 LENGTH = 200
 #: Bytes of the strings among which anchors are chosen.
 GRAM = 48
-#: Different contexts of an anchor that are sorted in one task (some 7 MB).
-CROWD = 20_000
+#: Different contexts of an anchor that are sorted in one task (some 0.7 MB; a walk over all neighbours of all is some seconds).
+CROWD = 2_000
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)  # odd, so they have inverses modulo 2**64
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
 _CHUNK = (1 << 20) - 1
 _LOW = np.uint64((1 << 20) - 1)
@@ -46,17 +47,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
-_tables: list[tuple[np.ndarray, np.ndarray] | None] = [None, None]
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _tables_for(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, to n at least; a worker keeps the longest."""
-    found = _tables[base]
-    if found is None or len(found[0]) <= n:
-        _tables[base] = found = None
+def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, to n at least; a worker keeps the longest."""
+    if not _tables or len(_tables[0][0]) <= n:
+        _tables.clear()
         size = -(-(n + 1) // 262_144) * 262_144
-        _tables[base] = found = (_powers(_BASES[base], size), _powers(pow(_BASES[base], -1, 1 << 64), size))
-    return found
+        _tables.append((_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)))
+    return _tables[0]
+
+
+def digests(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128 bits for each of the strings between the places, as two numbers."""
+    made = b"".join([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), stops.tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, 2)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -83,7 +89,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Start, number of windows, anchor, anchor's hash and two hashes of the whole context, of each run of a text."""
+    """Start, number of windows, anchor, anchor's hash and the digest of the whole context, of each run of a text."""
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     parts: list[tuple[np.ndarray, ...]] = []
     step = _CHUNK - length
@@ -91,7 +97,7 @@ def runs_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         data = np.frombuffer(text, np.uint8, count=max(0, min(len(text) - at, _CHUNK - 1)), offset=at) if text else np.zeros(0, np.uint8)
         if len(data) < length:
             continue
-        (p, q), (p2, q2) = _tables_for(len(data)), _tables_for(len(data), 1)
+        p, q = _tables_for(len(data))
         s = _prefix(data, p)
         n = len(data) - gram + 1
         h = _mixed((s[gram:] - s[:-gram]) * q[:n])
@@ -101,10 +107,10 @@ def runs_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         anchor = anchor[start]
         end = np.append(start[1:], len(data) - length + 1)  # of the starts
         stop = end - 1 + length
-        s2 = _prefix(data, p2)
+        # the anchor's place and the number of windows go with the bytes
         shape = ((anchor - start) * (length + 1) + (end - start)).astype(np.uint64)
-        k1 = _mixed((s[stop] - s[start]) * q[start] + shape)
-        k2 = _mixed((s2[stop] - s2[start]) * q2[start] ^ shape)
+        k = digests(text, start + at, stop + at)
+        k1, k2 = k[:, 0] + shape, k[:, 1] ^ shape
         parts.append((start + at, end - start, anchor + at, h[anchor], k1, k2))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
 
@@ -344,21 +350,15 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _crowded_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans (row, s, e) of groups of any size: windows counted by two hashes."""
+    """Spans (row, s, e) of groups of any size: windows counted by their digests."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for row, p, n, asked, times, context in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                data = np.frombuffer(context, np.uint8)
-                (w, q), (w2, q2) = _tables_for(len(data)), _tables_for(len(data), 1)
-                s, s2 = _prefix(data, w), _prefix(data, w2)
                 i = np.arange(n)
-                for x, v in zip(
-                    out,
-                    (_mixed((s[i + length] - s[i]) * q[i]), _mixed((s2[i + length] - s2[i]) * q2[i]), np.full(n, row), i + p, np.full(n, times if not asked else 1)),
-                    strict=True,
-                ):
+                w = digests(context, i, i + length)
+                for x, v in zip(out, (w[:, 0], w[:, 1], np.full(n, row), i + p, np.full(n, times if not asked else 1)), strict=True):
                     x.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.uint64).view(np.int64)) for x in out], names=["w1", "w2", "row", "p", "times"])
