@@ -43,7 +43,7 @@ def _iban_of(length: int, countries: str) -> str:
 
 # The patterns, by kind; the first that fits at a place counts. A card's is the whole run of digit groups it may be in.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9-]))++[A-Za-z]{2,}|(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,})",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G(?<=[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]{0,100}))[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9-]))++[A-Za-z]{2,}|(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,})",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
     "iban": r"\b(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b",
     "other_iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
