@@ -121,11 +121,13 @@ def test_pruning_loses_no_pair(spark):
     assert scored(spark, base, {"ciudad": "Cali"}, least=60.0).count() == 0
 
 
-def test_image_matching():
+def test_image_matching(spark):
     a = [("x", "00000000000000ff"), ("y", "ffffffffffffffff"), ("x", None)]
     b = [("x", "00000000000000fe"), ("z", "fffffffffffffff0"), (None, "0000000000000000")]
-    assert entity.match_images(a, b) == (1, 1, 1)
-    assert entity.match_images([], b) == (0, 0, None)
+    rows = [(1, i, *x) for i, x in enumerate(a)] + [(2, i, *x) for i, x in enumerate(b)]
+    hashes = spark.createDataFrame(rows, "publicacion_id long, evidencia_id long, hash_contenido string, hash_perceptual string")
+    out = entity.compare_images(spark.createDataFrame([(1, 2), (3, 2)], "a long, b long"), hashes)
+    assert {tuple(r) for r in out.collect()} == {(1, 2, 1, 1, 1), (3, 2, 0, 0, None)}
 
 
 def test_groups_split_and_components(spark):
