@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.llm.common import materialize, slices, texts_of, utf8
+from terrado.llm.common import few, materialize, slices, texts_of, utf8
 from terrado.llm.components import connected_components
 
 #: Words of a shingle, and bits that linked fingerprints may differ in.
@@ -82,7 +82,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     # a bucket is summed up where its rows are, so one that holds very many is no single task's
     buckets = materialize(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = buckets.where(F.col("n") == 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
-    crowded = materialize(variants.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct())
+    keys = few(materialize(buckets.where("n > 2").select("key")))  # counted: broadcast, or else both sides are shuffled and a hot key is split
+    crowded = materialize(variants.join(keys, "key", "left_semi").select("fp").distinct())
     return pairs.union(_neighbour_links(crowded, distance))
 
 
