@@ -179,8 +179,8 @@ def quarantined_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, string_agg(lower(n_name), ',' ORDER BY n_nationkey) AS cercanos FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_custkey")
 def suggest_own_nation(spark: SparkSession, sf: str) -> DataFrame:
-    """Each nation's name with a letter lost is nearest to that nation; suggestions are made once for each name, and joined."""
+    """The nearest name of the catalog to a customer's nation is that nation; made once for each name, and joined."""
     nations = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
     near = close_names([r.name for r in nations.select("name").orderBy("n_nationkey").collect()], most=1)
-    named = nations.select(F.col("n_nationkey").alias("c_nationkey"), F.array_join(near(F.substring("name", 1, 40)), ",").alias("cercanos"))
+    named = nations.select(F.col("n_nationkey").alias("c_nationkey"), F.array_join(near(F.col("name")), ",").alias("cercanos"))
     return table(spark, sf, "customer").join(F.broadcast(named), "c_nationkey").select("c_custkey", "cercanos")

@@ -33,15 +33,15 @@ def work_queue_left_null(spark: SparkSession, sf: str) -> DataFrame:
     return matches.needs_hashing(evidence, hashes).select("id")
 
 
-@query("""WITH stored AS (SELECT event_id AS id, 'l' || CAST(event_id AS VARCHAR) AS link_origen, user_id AS fuente_id, event_type AS codigo_externo FROM events WHERE event_id % 4 = 0),
-incoming AS (SELECT event_id AS fila, 'l' || CAST(event_id * 2 AS VARCHAR) AS link_origen, user_id AS fuente_id, event_type AS codigo_externo FROM events WHERE event_id % 5 = 0)
-SELECT i.fila, min(s.id) AS existente_id FROM incoming i LEFT JOIN stored s ON s.link_origen = i.link_origen OR (s.fuente_id = i.fuente_id AND s.codigo_externo = i.codigo_externo) GROUP BY i.fila""")
+@query("""WITH e AS (SELECT event_id, 'l' || CAST(event_id AS VARCHAR) AS link, 'l' || CAST(event_id * 2 AS VARCHAR) AS asked, user_id, event_type FROM events),
+by_link AS (SELECT link, min(event_id) AS m FROM e GROUP BY 1), by_key AS (SELECT user_id, event_type, min(event_id) AS m FROM e GROUP BY 1, 2)
+SELECT e.event_id AS fila, least(l.m, k.m) AS existente_id FROM e LEFT JOIN by_link l ON l.link = e.asked LEFT JOIN by_key k ON k.user_id = e.user_id AND k.event_type = e.event_type""")
 def existing_or_key(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     link = lambda x: F.concat(F.lit("l"), x.cast("string")).alias("link_origen")
     keys = [F.col("user_id").alias("fuente_id"), F.col("event_type").alias("codigo_externo")]
-    stored = e.where("event_id % 4 = 0").select(F.col("event_id").alias("id"), link(F.col("event_id")), *keys)
-    incoming = e.where("event_id % 5 = 0").select(F.col("event_id").alias("fila"), link(F.col("event_id") * 2), *keys)
+    stored = e.select(F.col("event_id").alias("id"), link(F.col("event_id")), *keys)
+    incoming = e.select(F.col("event_id").alias("fila"), link(F.col("event_id") * 2), *keys)
     return matches.existing(incoming, stored).select("fila", "existente_id")
 
 

@@ -81,8 +81,12 @@ def existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
     Two equality joins, one for each key space, stand for the one condition with OR.
     """
-    by_link = incoming.select("fila", "link_origen").join(stored.select("id", "link_origen"), "link_origen").select("fila", "id")
-    by_code = incoming.select("fila", "fuente_id", "codigo_externo").join(stored.select("id", "fuente_id", "codigo_externo"), ["fuente_id", "codigo_externo"]).select("fila", "id")
+    codes = ["fuente_id", "codigo_externo"]
+    # the smallest id of each key first, so a key that many rows share meets one row
+    of_link = stored.groupBy("link_origen").agg(F.min("id").alias("id"))
+    of_code = stored.groupBy(*codes).agg(F.min("id").alias("id"))
+    by_link = incoming.select("fila", "link_origen").join(of_link, "link_origen").select("fila", "id")
+    by_code = incoming.select("fila", *codes).join(of_code, codes).select("fila", "id")
     found = by_link.union(by_code).groupBy("fila").agg(F.min("id").alias("existente_id"))
     return incoming.join(found, "fila", "left")
 
