@@ -172,33 +172,38 @@ class Scanner:
         return len(words), base, self._chained(runs)
 
     def _chained(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Runs in the order of the text to spans in the order of a template, one pass."""
-        spans: list[tuple[str, int, int, float]] = []
-        open_: dict[int, list[int]] = {}  # by template: start, end, end in the template, words covered
-
-        def close(k: int) -> None:
-            start, end, _, covered = open_.pop(k)
-            words, label = self.templates[k]
-            if covered >= self.min_cover * len(words):
-                spans.append((label, start, end, min(1.0, covered / len(words))))
+        """Spans of the text that cover most of a template: the best chains of its runs, in the order of both, over gaps of max_gap words at most.
 
+        A run may stand at several places of a template; each is an item, and an item
+        looks back over the items that end within its reach, whose number is bounded
+        by the template and the gap. Of one template's chains that overlap the fullest counts.
+        """
+        places: dict[int, list[tuple[int, int, int]]] = {}  # by template: end, end in the template, words
         for end, run, state in runs:
             for k, at in self.auto.ends[state]:
-                if k >= len(self.templates):
-                    continue
-                found = open_.get(k)
-                if found and end - run - found[1] <= self.max_gap and at > found[2]:
-                    new = min(run, end - found[1], at - found[2])
-                    if new > 0:
-                        found[1], found[2], found[3] = end, at, found[3] + new
-                    continue
-                if found and (end - run - found[1] > self.max_gap or run > found[3]):
-                    close(k)
-                    found = None
-                if not found:
-                    open_[k] = [end - run, end, at, run]
-        for k in list(open_):
-            close(k)
+                if k < len(self.templates):
+                    places.setdefault(k, []).append((end, at, run))
+        spans: list[tuple[str, int, int, float]] = []
+        for k, items in places.items():
+            words, label = self.templates[k]
+            items.sort()
+            chains: list[tuple[int, int, int]] = []  # words covered, start, end
+            for i, (end, at, run) in enumerate(items):
+                covered, start = run, end - run
+                for j in range(i - 1, -1, -1):
+                    end_j, at_j, _ = items[j]
+                    if end - run - end_j > self.max_gap:
+                        break
+                    if end_j < end and at_j < at and (more := chains[j][0] + min(run, end - end_j, at - at_j)) > covered:
+                        covered, start = more, chains[j][1]
+                chains.append((covered, start, end))
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted(chains, key=lambda c: (-c[0], c[1])):
+                if covered < self.min_cover * len(words):
+                    break
+                if all(end <= s or start >= e for s, e in taken):
+                    taken.append((start, end))
+                    spans.append((label, start, end, min(1.0, covered / len(words))))
         return sorted(spans, key=lambda s: s[1:3])
 
 

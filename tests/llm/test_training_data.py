@@ -345,6 +345,24 @@ def test_license_scan_equals_search(spark):
     assert by[203].labels == "cc-by-nc" and by[202].labels == "mit" and by[200].labels == ""
 
 
+def test_chains_with_gaps_and_repeats():
+    """Runs over gaps are one span; a template that repeats its words, and two templates in turn, lose none."""
+    w = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    one, two = w("a", 40), " ".join(["x y z u"] * 3 + [w("b", 30)])
+    scanner = licenses.Scanner((), (("one", one), ("two", two)), 4, 6, 0.6)
+    cut = one.split()
+    text = " ".join([*cut[:15], "own", "words", "here", *cut[16:40]])
+    assert scanner.scan(text.encode())[2] == [("one", 0, 42, 39 / 40)]
+    assert scanner.scan(f"x y z u {two} x y z u".encode())[2][0][0] == "two" and scanner.scan(f"x y z u {two}".encode())[2][0][3] == 1.0
+    far = " ".join([*cut[:20], *["gap"] * 7, *cut[20:]])
+    assert scanner.scan(far.encode())[2] == []
+    both = " ".join([*cut[:20], "x y z u x y z u x y z u", *cut[20:], w("b", 30)])
+    found = scanner.scan(both.encode())[2]
+    assert [x[0] for x in found] == ["two"] or {x[0] for x in found} == {"one", "two"}
+    twice = scanner.scan(f"{one} filler {one}".encode())[2]
+    assert [x[:3] for x in twice] == [("one", 0, 40), ("one", 41, 81)]
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(9)
     sequences = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(6)]
