@@ -128,17 +128,18 @@ def audit(pages: DataFrame, run: str = "corrida") -> DataFrame:
 def coverage_reasons(pages: DataFrame, run: str = "corrida") -> DataFrame:
     """run, motivos: why a crawl may have missed results, in order; at most 5 failed and 8 empty pages are named."""
     ok = F.col("estado") == "ok"
-    listed = lambda cond, value: F.sort_array(F.collect_list(F.when(cond, F.struct("pagina", value.alias("v")))))
-    named = lambda c, most: F.array_join(F.transform(F.slice(c, 1, most), lambda x: x["v"]), ", ")
     failed = F.concat(F.col("pagina").cast("string"), F.lit(" ("), F.coalesce("motivo", F.lit("sin detalle")), F.lit(")"))
-    by_run = pages.groupBy(run).agg(
-        listed(~ok, failed).alias("f"),
-        listed(ok & (F.coalesce("links", F.lit(0)) == 0), F.col("pagina").cast("string")).alias("e"),
-        F.sum(F.coalesce("repetidos", F.lit(0))).alias("d"),
-    )
+    empty = ok & (F.coalesce("links", F.lit(0)) == 0)
+    kind = F.when(~ok, "f").when(empty, "e")
+    counts = pages.groupBy(run).agg(F.count_if(~ok).alias("f"), F.count_if(empty).alias("e"), F.sum(F.coalesce("repetidos", F.lit(0))).alias("d"))
+    told = pages.select(run, kind.alias("kind"), "pagina", F.when(~ok, failed).otherwise(F.col("pagina").cast("string")).alias("v")).where("kind IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy(run, "kind").orderBy("pagina", "v"))
+    told = told.withColumn("place", place).where("place <= if(kind = 'f', 5, 8)")
+    names = told.groupBy(run).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "v")))).alias(f"{k}_named") for k in "fe"])
+    named = lambda k: F.array_join(F.transform(f"{k}_named", lambda x: x["v"]), ", ")
     text = F.array(
-        F.when(F.size("f") > 0, F.concat(F.size("f").cast("string"), F.lit(" paginas fallidas: "), named("f", 5))),
-        F.when(F.size("e") > 0, F.concat(F.size("e").cast("string"), F.lit(" paginas vacias: "), named("e", 8))),
+        F.when(F.col("f") > 0, F.concat(F.col("f").cast("string"), F.lit(" paginas fallidas: "), named("f"))),
+        F.when(F.col("e") > 0, F.concat(F.col("e").cast("string"), F.lit(" paginas vacias: "), named("e"))),
         F.when(F.col("d") > 0, F.concat(F.col("d").cast("string"), F.lit(" links repetidos"))),
     )
-    return by_run.select(run, F.filter(text, lambda x: x.isNotNull()).alias("motivos"))
+    return counts.join(names, run, "left").select(run, F.filter(text, lambda x: x.isNotNull()).alias("motivos"))

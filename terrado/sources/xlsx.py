@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -146,13 +147,19 @@ def as_texts(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _sheet_xml(header: list[str], rows: Iterator[tuple]) -> str:
-    def row(n: int, values: tuple | list) -> str:
-        cells = "".join(f'<c r="{column_name(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for i, v in enumerate(values))
-        return f'<row r="{n}">{cells}</row>'
+#: Rows of a sheet, at most: the format's own limit.
+MOST_ROWS = 1_048_576
+
 
-    body = "".join(row(n, r) for n, r in enumerate([header, *rows], 1))
-    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NS["m"]}"><sheetData>{body}</sheetData></worksheet>'
+def _sheet_xml(header: list[str], rows: Iterator[tuple]) -> Iterator[bytes]:
+    """A sheet's XML, a row at a time."""
+    yield f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NS["m"]}"><sheetData>'.encode()
+    for n, values in enumerate(chain([header], rows), 1):
+        if n > MOST_ROWS:
+            raise ValueError(f"a sheet holds at most {MOST_ROWS} rows")
+        cells = "".join(f'<c r="{column_name(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for i, v in enumerate(values))
+        yield f'<row r="{n}">{cells}</row>'.encode()
+    yield b"</sheetData></worksheet>"
 
 
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
@@ -175,5 +182,7 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
         book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_NS["m"]}" xmlns:r="{rel}"><sheets>{named}</sheets></workbook>')
         for i, df in enumerate(sheets.values(), 1):
             texts = as_texts(df)
-            book.writestr(f"xl/worksheets/sheet{i}.xml", _sheet_xml(df.columns, (tuple(r) for r in texts.toLocalIterator())))
+            with book.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                for piece in _sheet_xml(df.columns, (tuple(r) for r in texts.toLocalIterator())):
+                    part.write(piece)
     return out.getvalue()
