@@ -152,6 +152,11 @@ def _batch(ids: list, starts: list, lengths: list, tokens: list, totals: list) -
     )
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Packed pieces as Parquet, a folder for each length: a batch of one bucket has sequences of one length, and is read without the others."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def checksum(tokens: bytes) -> int:
     return zlib.crc32(tokens)
 

@@ -556,6 +556,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_buckets_hold_one_length(spark, tmp_path):
+    packed = packing.pack(docs(spark, [(i, "word " * i) for i in range(40)]), longest=16)
+    packing.write_buckets(packed, f"{tmp_path}/b")
+    found = spark.read.parquet(f"{tmp_path}/b")
+    assert found.where("length <> bucket").count() == 0 and found.count() == packed.count()
+    assert {p.name for p in (tmp_path / "b").iterdir() if p.is_dir()} == {f"bucket={n}" for n in (1, 2, 4, 8, 16)}
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
