@@ -13,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrado.llm.common import ascii_lower, content_of, drop_table, few, free_name, let, materialize, words
+from terrado.llm.common import WORD, ascii_lower, content_of, drop_table, few, free_name, let, materialize, words
 
 #: Words in a window.
 WINDOW = 10
 #: The hash set is part of the plan up to so many windows and broadcast up to so many (8 bytes and their place in a hash table each);
 #: beyond, hashes and places of all document windows are shuffled, without their words.
 MAX_SET, MAX_BROADCAST = 20_000, 2_000_000
-#: A word before A-Z is lower-cased.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _lowered(text: str) -> str:
+    """SQL: a text in lower case, each character for itself: only a capital sigma would look at its neighbours."""
+    return f"lower(replace({text}, 'Σ', 'σ'))"
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -54,7 +57,7 @@ def find_contamination(
     grams = materialize(_with_probes(benchmark_windows(benchmark, item_col, item_text_col, size)))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), content_of(text_col).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"))
     seen = materialize(_seen(rows, grams, max_set, max_broadcast))
-    report = few(materialize(_verified(seen, grams)))
+    report = materialize(_verified(seen, grams))
     drop_table(grams)
     none = F.array().cast("array<struct<start:int,length:int>>"), F.array().cast("array<string>")
     out = seen.join(report, "content", "left")
@@ -75,13 +78,13 @@ def _literal(number: int) -> str:
 def _seen(rows: DataFrame, grams: DataFrame, max_set: int, max_broadcast: int) -> DataFrame:
     """rows (content, text and others) without text, with n_words and found: places whose hash is in the set (i, length, window).
 
-    Words are lower-cased one by one for the hash, on both sides in full, which
-    is cheap and can only find more. The lambda binds the words, so that they are taken once.
+    For the hash both sides are lower-cased in full, which is cheap, keeps the
+    word boundaries and can only find more. The lambda binds the words, so that they are taken once.
     """
     counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     others = [c for c in rows.columns if c != "text"]
     total = sum(counts.values())
-    n_words = F.expr(f"cast(size(regexp_extract_all(coalesce(text, ''), r'{_RAW_WORD}', 0)) as long)").alias("n_words")
+    n_words = F.expr(f"cast(size(regexp_extract_all({_lowered("coalesce(text, '')")}, r'{WORD}', 0)) as long)").alias("n_words")
     if not total:
         return rows.select(*others, n_words, F.lit(None).cast("array<struct<i:int,length:int,window:string>>").alias("found"))
 
@@ -92,7 +95,7 @@ def _seen(rows: DataFrame, grams: DataFrame, max_set: int, max_broadcast: int) -
         return f"xxhash64(get(w, i), get(w, i + {length // 2}), get(w, i + {length - 1}))"
 
     def over_words(body: str) -> str:
-        return f"transform(array(transform(regexp_extract_all(coalesce(text, ''), r'{_RAW_WORD}', 0), x -> lower(x))), w -> {body})[0]"
+        return f"transform(array(regexp_extract_all({_lowered("coalesce(text, '')")}, r'{WORD}', 0)), w -> {body})[0]"
 
     if total <= max_set:
         listed: dict[int, list[str]] = {}
@@ -141,7 +144,7 @@ def drop_contaminated(
 
 def _with_probes(grams: DataFrame) -> DataFrame:
     of = lambda w: F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.expr("length div 2").cast("int")), F.get(w, F.col("length") - 1))
-    return grams.select("*", let(F.transform(F.split("window", " "), F.lower), of).alias("probe"))
+    return grams.select("*", let(F.split(F.expr(_lowered("window")), " "), of).alias("probe"))
 
 
 def hit_words(hits: Column) -> Column:
