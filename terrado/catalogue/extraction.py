@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrado.catalogue.common import registry, table
-from terrado.extract import portals
+from terrado.extract import listing_pages, portals
 from terrado.extract.rules import after_label
 from terrado.functions import numbers, text
 from terrado.operators import curate
@@ -79,6 +79,32 @@ def file_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.file_name(F.concat("p_name", F.lit(" ¡x!.jpg"))).alias("archivo"))
 
 
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'C-' || CAST(p_partkey AS VARCHAR) END AS codigo_externo, CASE WHEN p_partkey % 9 <> 0 THEN 100000000 + p_partkey * 1000 END AS precio,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Casa Lote' ELSE 'Lote' END AS tipo_inmueble, 'San ' || p_brand AS barrio, p_name AS descripcion, p_size + 0.5 AS m2, CASE WHEN p_partkey % 4 = 0 THEN p_size + 0.5 ELSE p_size * 2.0 END AS m2_construido,
+  CAST(p_size % 6 AS INTEGER) AS habitaciones, CAST(p_size % 3 AS INTEGER) AS estrato, CASE WHEN p_partkey % 5 = 0 THEN 'fuera_de_pasto' WHEN p_partkey % 9 = 0 THEN 'sin_precio' END AS skip_reason FROM part""")
+def listing_page_records(spark: SparkSession, sf: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    said = lambda c: c.cast("string")
+    parts = [
+        F.when(k % 7 != 0, F.concat(F.lit("Código Fincaraíz: C-"), said(k))),
+        F.when(k % 9 != 0, F.concat(F.lit("$ "), said(100_000_000 + k * 1000))),
+        F.lit("Tipo de Inmueble"), F.when(k % 2 == 0, "casa lote").otherwise("Lote urbano"),
+        F.lit("Área Privada"), F.concat(said(size), F.lit(",5 m2")),
+        F.when(k % 4 != 0, F.concat(F.lit("Área Construida: "), said(size * 2), F.lit(" m2"))),
+        F.lit("Habitaciones"), said(size % 6), F.concat(F.lit("Estrato: "), said(size % 3)),
+        F.lit("Descripción"), F.col("p_name"), F.lit("Contactar"), F.lit("otro"),
+    ]
+    pages = table(spark, sf, "part").select(
+        k.alias("id"),
+        F.concat(F.when(k % 5 == 0, "http://x/ipiales/").otherwise("http://x/pasto/"), said(k)).alias("url"),
+        F.concat(F.lit("Lote en venta en San "), "p_brand", F.when(k % 5 == 0, ", Pastoral").otherwise(", Pasto")).alias("title"),
+        F.concat_ws("\n", *parts).alias("text"),
+        F.lit(None).cast("string").alias("html"),
+    )
+    found = listing_pages.records(pages)
+    return found.select("id", "codigo_externo", "precio", "tipo_inmueble", "barrio", "descripcion", "m2", "m2_construido", "habitaciones", "estrato", "skip_reason")
+
+
 @query(None)
 def marketplace_fields(spark: SparkSession, sf: str) -> DataFrame:
     return portals.extract(table(spark, sf, "documents"), "facebook", id_col="doc_id")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from terrado.extract import portals
+from terrado.extract import listing_pages, portals
 from terrado.extract.rules import after_label
 from terrado.sources.pages import decode_page, embedded_json, property_data, read_page
 from terrado.sources.xlsx import map_headers, read_sheet, read_xlsx, workbook
@@ -85,3 +85,30 @@ def test_workbooks_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="no sheet"):
         list(read_sheet(data, "otra"))
     assert map_headers(["Precio ", "raro", ""], {"precio": {"precio"}}, set(), lambda h: h.strip().lower()) == ({"precio": 0}, ["raro"])
+
+
+def test_listing_page(spark):
+    lines = ["Casa en venta en La Colina, Pasto", "Baños", "", "2", "Área Construida", "1.200,5 m2", "Estrato", "Sin definir", "Antigüedad", "más de 20 años", "Administración", "$ 90.000", "Descripción", "Casa de 3 pisos", "amplia", "Código Fincaraíz: 77-A", "$ 350.000.000"]
+    pages = [
+        (1, "https://x.co/casa-pasto/123", "Casa en venta en La Colina, Pasto", "\n".join(lines), '{"lat": 1.21, "lng": -77.28}'),
+        (2, "https://x.co/cali/5", "Casa en Cali", "$ 350.000.000", None),
+        (3, "https://x.co/pasto/5", None, "", None),
+        (4, None, None, None, None),
+    ]
+    found = {r.id: r for r in listing_pages.records(spark.createDataFrame(pages, "id long, url string, title string, text string, html string")).collect()}
+    r = found[1]
+    assert (r.codigo_externo, r.precio, r.tipo_inmueble, r.barrio, r.skip_reason) == ("77-A", 90_000, "Casa", "La Colina", None)
+    assert (r.banios, r.m2, r.m2_construido, r.estrato, r.antiguedad, r.pisos, r.administracion) == (2, 1200.5, 1200.5, None, "más de 20 años", 3, 90_000)
+    assert r.descripcion == "Casa de 3 pisos amplia" and (r.latitud, r.longitud) == (1.21, -77.28)
+    assert {i: x.skip_reason for i, x in found.items()} == {1: None, 2: "fuera_de_pasto", 3: "sin_precio", 4: "fuera_de_pasto"}
+    window = spark.range(1).select(listing_pages.result_window(F.lit("Mostrando 1 - 21 de 1.250 resultados")).alias("w")).first().w
+    assert tuple(window) == (1, 21, 1250)
+
+
+def test_more_fields(spark):
+    r = fields(spark, "amorel", "Casa en CONJUNTO CERRADO ALTOS DE NARINO valor 90 millones, estrato 4. Antigüedad: 10 años")
+    assert (r["estrato"], r["conjunto"], r["antiguedad"]) == (4, "Conjunto Cerrado Altos De", "10 Años")
+    r = fields(spark, "facebook", "Apartamento estrato 3 para estrenar")
+    assert (r["estrato"], r["antiguedad"]) == (3, "Para Estrenar")
+    said = spark.range(1).select(portals.seller(F.array(F.lit("Casa"), F.lit("Información del vendedor"), F.lit(" Ana  Paz "))).alias("s")).first().s
+    assert said == "Ana Paz"
