@@ -25,7 +25,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back, so that lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP)
+    before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")  # the table stands in for the shuffle files that it was made from
     try:
         df.write.parquet(path)
