@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.llm.common import materialize, parts, slices
+from terrado.llm.common import drop_table, materialize, parts, slices
 
 K, EVERY = 5, 50
 SCALE = 256
@@ -273,6 +273,7 @@ def top_k(
         raise ArithmeticError("products of these vectors may not fit a long")
     pivots = Pivots([r["v"] for r in rows.orderBy(F.xxhash64("row", F.lit("pivot")), "row").limit(min(most_pivots, parts(n, cell))).select("v").collect()])
     placed = materialize(placed_rows(rows, pivots))
+    drop_table(rows)
     cells = materialize(placed.groupBy("d", F.col("cell").alias("c")).agg(F.max("far").alias("c_far"), F.count("*").alias("n")))
     queries = materialize(placed.where(is_query).withColumnRenamed("cell", "q").withColumn("kth", F.lit(float("-inf"))))
     query_cells = queries.groupBy("d", "q").agg(F.max("far").alias("q_far"))
