@@ -135,10 +135,12 @@ def drop_contaminated(
     """
     grams = materialize(_with_probes(benchmark_windows(benchmark, item_col, item_text_col, size)))
     rows = docs.select(content_of(text_col).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    seen = _seen(rows, grams, max_set, max_broadcast).where("size(found) > 0").select("content", "found")
+    # written before it is filtered, or else the condition would be pushed below what it tests and take that twice
+    seen = materialize(_seen(rows, grams, max_set, max_broadcast).select("content", "found"))
     of = free_name(docs, "content")
     gone = materialize(_verified(seen, grams).select(F.col("content").alias(of)))
-    drop_table(grams)
+    for done in (grams, seen):
+        drop_table(done)
     return docs.withColumn(of, content_of(text_col)).join(few(gone), of, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
