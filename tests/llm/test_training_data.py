@@ -243,6 +243,19 @@ def test_near_copies_in_a_template_family(spark):
     assert {r["first"]: r.component_id for r in groups} == {i: i - i % 2 for i in range(600)}
 
 
+def test_bitmaps_bound_the_difference(spark):
+    """Bits that differ are never more than members that do, whatever the sizes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (1, 400, 500, 530, 5000, 9000):
+        base = rng.integers(1, 2**63, size, dtype=np.uint64)
+        for other in (base[: size - size // 10], np.concatenate([base, rng.integers(1, 2**63, size // 8, dtype=np.uint64)]), rng.integers(1, 2**63, size, dtype=np.uint64)):
+            rows.append((len(set(base.tolist()) ^ set(other.tolist())), near_duplicates.parity(base).tolist(), near_duplicates.parity(other).tolist()))
+    found = spark.createDataFrame(rows, "true int, x array<long>, y array<long>").select("true", near_duplicates.unlike_bits("x", "y").alias("n"), near_duplicates.unlike_bits("y", "x").alias("m")).collect()
+    assert all(r.n == r.m <= r.true and (r.true - r.n) % 2 == 0 for r in found)
+    assert sum(r.n for r in found) > 0.4 * sum(r.true for r in found)
+
+
 def test_similarity_is_exact(spark):
     """184 words with four changed share 160 of 200 shingles, 183 share 159 of 199."""
     rows, expected = [], {}
