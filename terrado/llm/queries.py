@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.llm import decontam, licenses, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filters
+from terrado.llm import clustering, conversations, decontam, licenses, packing, pages, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filters
 from terrado.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -70,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_conversations": op11_conversations,
+        "op12_html": op12_html,
+        "op13_clustering": op13_clustering,
     }
 
 
@@ -142,5 +157,37 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+def _op13_sql() -> str:
+    """The rounds as tables: assigned (a), then summed to new centroids (c)."""
+
+    def assigned(k: int) -> str:
+        return f""",
+a{k} AS MATERIALIZED (SELECT row, vec_id, e, k, d FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY row ORDER BY d, k) AS r FROM (
+    SELECT v.*, c.k, CAST(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v.e, c.e)]) AS BIGINT) AS d FROM v, c{k} c) p) WHERE r = 1)"""
+
+    def summed(k: int) -> str:
+        return f""",
+c{k} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{k - 1} c LEFT JOIN (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+    SELECT k, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM a{k - 1}, LATERAL unnest(range(1, {clustering.DIMS + 1})) AS r(i) GROUP BY k, i) GROUP BY k) m USING (k))"""
+
+    rounds = "".join(assigned(k) + summed(k + 1) for k in range(clustering.ROUNDS)) + assigned(clustering.ROUNDS)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE len(embedding) = {clustering.DIMS} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (SELECT k, e FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS k, e FROM v) WHERE k < {clustering.CLUSTERS}){rounds}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{clustering.ROUNDS} a JOIN c{clustering.ROUNDS} c USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op4_topk": OP4_SQL, "op7_decontamination": OP7_SQL}
+    return {
+        "op1_url_filters": _op1_sql(),
+        "op4_topk": OP4_SQL,
+        "op7_decontamination": OP7_SQL,
+        "op11_conversations": conversations.report_sql(),
+        "op13_clustering": _op13_sql(),
+    }
