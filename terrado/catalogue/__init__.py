@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.catalogue import analytic, extraction, keeping, matching, searching, textual
+from terrado.catalogue import analytic, extraction, keeping, market, matching, searching, textual
 
-_PARTS = (searching, matching, analytic, textual, extraction, keeping)
+_PARTS = (searching, matching, analytic, textual, extraction, market, keeping)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrado.functions.numbers import plausible
+from terrado.functions.json_walk import json_point
 from terrado.functions.text import blank_to_null, strip, type_key, unaccent, upper_key
 
 # Texts (lower case) of a page that asks for a login, and of one whose listing is gone.
@@ -231,18 +231,8 @@ def stored_links(origin: Column, more: Column) -> Column:
 
 
 def json_coordinates(document: Column) -> Column:
-    """struct lat, lon: the first plausible pair that any object of a JSON text names, in the text's order.
-
-    Names are latitude, latitud or lat, then a longitude's, with other simple
-    members between them; or a pair called coordinates or coordenadas, longitude first if both orders fit.
-    """
-    number = r'"?\s*(-?\d+(?:[.,]\d+)?)\s*"?'
-    named = rf'"(?:latitude|latitud|lat)"\s*:\s*{number}\s*,(?:[^{{}}\[\]]*?,)?\s*"(?:longitude|longitud|lng|lon|long)"\s*:\s*{number}'
-    listed = rf'"(?:coordinates|coordenadas)"\s*:\s*\[\s*{number}\s*,\s*{number}'
-    texted = r'"(?:coordinates|coordenadas)"\s*:\s*"\s*(-?\d+(?:[.,]\d+)?)\s*,\s*(-?\d+(?:[.,]\d+)?)'
-    value = lambda pattern, k: F.replace(F.regexp_extract(document, pattern, k), F.lit(","), F.lit(".")).try_cast("double")
-    pairs = [(value(named, 1), value(named, 2)), (value(listed, 2), value(listed, 1)), (value(listed, 1), value(listed, 2)), (value(texted, 1), value(texted, 2))]
-    return F.coalesce(*[F.when(plausible(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon"))) for lat, lon in pairs])
+    """struct lat, lon: the first plausible pair that an object of a JSON text names, in the text's order (`json_walk.json_point`)."""
+    return json_point(document)
 
 
 def capped_links(links: DataFrame, run: list[str], order: list[Column], most: int = 50) -> DataFrame:
