@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrado.catalogue.common import EDGES_SQL, LISTINGS_SQL, edges, listings, registry, sources, table
-from terrado.functions.similarity import close_names
 from terrado.operators import graph, upkeep
+from terrado.operators.fuzzy import close_names
 
 QUERIES, SQL, query = registry()
 
@@ -180,7 +180,7 @@ def quarantined_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, string_agg(lower(n_name), ',' ORDER BY n_nationkey) AS cercanos FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_custkey")
 def suggest_own_nation(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest name of the catalog to a customer's nation is that nation; made once for each name, and joined."""
-    nations = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    near = close_names([r.name for r in nations.select("name").orderBy("n_nationkey").collect()], most=1)
-    named = nations.select(F.col("n_nationkey").alias("c_nationkey"), F.array_join(near(F.col("name")), ",").alias("cercanos"))
+    nations = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("key"))
+    near = close_names(nations.select("key"), nations.select("key"), most=1)
+    named = nations.join(near, "key").select(F.col("n_nationkey").alias("c_nationkey"), F.array_join("near.key", ",").alias("cercanos"))
     return table(spark, sf, "customer").join(F.broadcast(named), "c_nationkey").select("c_custkey", "cercanos")

@@ -184,6 +184,27 @@ def blocking_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return entity.candidate_pairs(people(spark, sf), _no_hashes(spark))
 
 
+_POOLED_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN 'ciudad ' || CAST(c_custkey % 3 AS VARCHAR) END AS ciudad, 'barrio ' || CAST(c_custkey % 40 AS VARCHAR) AS barrio,
+  CASE WHEN c_custkey % 4 = 0 THEN 'carrera ' || CAST(c_custkey % 25 AS VARCHAR) END AS direccion, c_custkey % 3 = 0 AS placed, EXISTS (SELECT 1 FROM documents WHERE doc_id // 5 = c_custkey) AS hashed FROM customer"""
+
+
+@query(f"""WITH p AS ({_POOLED_SQL}),
+pairs AS (SELECT a.id AS probe, b.id AS candidate, row_number() OVER (PARTITION BY a.id ORDER BY b.id DESC) AS r FROM p a JOIN p b
+  ON a.id <> b.id AND (a.ciudad = b.ciudad OR a.ciudad IS NULL OR b.ciudad IS NULL) AND (a.barrio = b.barrio OR a.direccion = b.direccion OR (a.placed AND b.placed) OR b.hashed))
+SELECT probe, candidate FROM pairs WHERE r <= 25""")
+def blocking_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 25 candidates where many listings have coordinates, some have image hashes and some no city."""
+    k = F.col("id")
+    rows = people(spark, sf).withColumns({"ciudad": F.when(k % 7 != 0, F.col("ciudad")), "latitud": F.when(k % 3 == 0, F.lit(1.2)).cast("decimal(10,7)"), "longitud": F.when(k % 3 == 0, F.lit(-77.2)).cast("decimal(10,7)")})
+    return entity.candidate_pairs(rows, _page_hashes(spark, sf), most=25)
+
+
+def _page_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the images of listings, five each."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.select(F.floor(F.col("doc_id") / 5).alias("publicacion_id"), F.col("doc_id").alias("evidencia_id"), F.sha2("text", 256).alias("hash_contenido"), F.substring(F.md5("text"), 1, 16).alias("hash_perceptual"))
+
+
 _SCORED_SQL = f"""WITH {PEOPLE_SQL},
 pairs AS (SELECT a.id AS a, b.id AS b, a.direccion AS da, b.direccion AS db, a.barrio = b.barrio AS sb, a.tipo = b.tipo AS st, a.m2 AS ma, b.m2 AS mb, a.hab = b.hab AS sh, a.ban = b.ban AS sn, a.est = b.est AS se, a.precio AS pa, b.precio AS pb
   FROM people a JOIN people b ON a.id < b.id AND a.ciudad = b.ciudad AND (a.barrio = b.barrio OR a.direccion = b.direccion)),

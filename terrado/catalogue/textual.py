@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from terrado.catalogue.common import registry, table
 from terrado.functions import numbers, text
-from terrado.functions.similarity import close_names, text_similarity
-from terrado.operators import buildings, location, phrases
+from terrado.functions.similarity import text_similarity
+from terrado.operators import buildings, fuzzy, location, phrases
 from terrado.sources import pages as web
 
 QUERIES, SQL, query = registry()
@@ -76,12 +76,20 @@ def number_digits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def suggest_topk(spark: SparkSession, sf: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf, "nation").select(F.lower("n_name")).orderBy("n_nationkey").collect()]
-    near = close_names(names)
-    customers = table(spark, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("name"))
+    names = table(spark, sf, "nation").select(F.lower("n_name").alias("key"))
+    customers = table(spark, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("key"))
     # a name is compared with the catalog once, however many rows have it
-    found = customers.select("name").distinct().withColumn("cercanos", near(F.col("name")))
-    return customers.join(found, "name").select("c_custkey", "cercanos")
+    found = fuzzy.close_names(customers.select("key").distinct(), names)
+    return customers.join(found, "key", "left").select("c_custkey", F.coalesce(F.col("near.key"), F.array().cast("array<string>")).alias("cercanos"))
+
+
+@query(None)
+def suggest_part_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts with two letters changed places, against all names of parts."""
+    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("key"))
+    wrong = p.withColumn("said", F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 200)))
+    near = fuzzy.close_names(wrong.select(F.col("said").alias("key")).distinct(), p.select("key").distinct())
+    return wrong.join(near.select(F.col("key").alias("said"), F.col("near.key").alias("cercanos")), "said", "left").select("p_partkey", "said", "cercanos")
 
 
 @query(None)

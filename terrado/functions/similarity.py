@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -40,12 +39,3 @@ def key_similarity(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column) -> Column:
     return key_similarity(address_key(a), address_key(b))
-
-
-def close_names(names: list[str], most: int = 4, least: float = 0.62) -> Callable[[Column], Column]:
-    """A function from a key column to the most similar of a catalog's keys, best first."""
-
-    def nearest(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: difflib.get_close_matches(k, names, n=most, cutoff=least) if k else [])
-
-    return lambda key: F.pandas_udf(nearest, "array<string>")(F.coalesce(key, F.lit("")))

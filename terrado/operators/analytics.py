@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrado.functions.numbers import whole_percent
 from terrado.functions.text import blank_to_null, is_blank
+from terrado.operators.selection import exact_quantile_values
 
 # Upper bounds of the price ranges, with their labels.
 PRICE_RANGES = ((100_000_000, "Hasta 100M"), (200_000_000, "100M a 200M"), (400_000_000, "200M a 400M"))
@@ -33,11 +34,15 @@ def price_range(price: Column, ranges: tuple[tuple[int, str], ...] = PRICE_RANGE
 
 
 def summary(df: DataFrame, price: str = "precio", unit_price: str = "precio_m2", area: str = "m2", when: str = "fecha_captura") -> DataFrame:
-    """One row: n, mean and exact median price, mean price by area, mean area, last capture. Null if no value counts."""
+    """One row: n, mean and exact median price, mean price by area, mean area, last capture. Null if no value counts.
+
+    The median is selected first (`selection`), in a few passes over the prices.
+    """
+    (median,) = exact_quantile_values(df, F.col(price))
     return df.agg(
         F.count("*").alias("n"),
         F.avg(price).alias("precio_promedio"),
-        F.median(price).alias("precio_mediano"),
+        F.lit(median).cast("double").alias("precio_mediano"),
         F.avg(unit_price).alias("precio_m2_promedio"),
         F.avg(area).alias("area_promedio"),
         F.max(when).alias("ultima_captura"),

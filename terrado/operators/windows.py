@@ -44,3 +44,14 @@ def newest_per_probe(pairs: DataFrame, probe: str, candidate: str, most: int = 1
 def best_per_identity(df: DataFrame, identity: list[str], order: Column, score: Column, value: str) -> DataFrame:
     """One row per identity: its best value, in the place where it first appears; of equal scores the first counts."""
     return df.groupBy(*identity).agg(F.min(order).alias("lugar"), F.max_by(value, F.struct(score, -order)).alias(value))
+
+
+def newest_of_each(df: DataFrame, by: list[str], newest: Column, n: int, spread: Column, parts: int) -> DataFrame:
+    """The n first rows of each key by `newest`, in two levels: of a key's rows in each of `parts` parts by `spread`, then of what those leave.
+
+    A key with most of all rows is dealt to `parts` tasks; the second level sees at most n times parts rows of it.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(parts))
+    place = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(newest))
+    some = df.withColumn("_part", part).withColumn("_place", place([*by, "_part"])).where(F.col("_place") <= n)
+    return some.withColumn("_place", place(by)).where(F.col("_place") <= n).drop("_part", "_place")
