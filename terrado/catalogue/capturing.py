@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrado.catalogue.common import registry, table
+from terrado.catalogue import matching, searching
+from terrado.catalogue.common import edges, registry, table
+from terrado.operators import curate, graph, group_upkeep
+from terrado.sources import buckets
+from terrado.sources.tables import materialize, shared_dir
 from terrado.streaming import crawl
 
 QUERIES, SQL, query = registry()
 
+#: What a rebuild of all groups, and an upsert of the whole table, give.
+SQL_GROUPS, SQL_MERGED = matching.SQL["connected_components"], searching.SQL["merge_preserve_review"]
 LIMITS = crawl.Limits(outside=5, existing=4, stalled=3, links=30)
 
 
@@ -52,3 +60,26 @@ def crawl_decisions(spark: SparkSession, sf: str) -> DataFrame:
         ((k % 250 > 240) & (F.col("event_type") == "view")).alias("separador"),
     )
     return crawl.crawl_decisions(cards, LIMITS)
+
+
+@query(SQL_GROUPS)
+def groups_kept_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of a former state of the edges, kept up with those that have changed since."""
+    now = edges(spark, sf)
+    k = F.col("publicacion_id")
+    before = now.withColumn("estado", F.when(k % 25 == 1, "confirmada").when(k % 25 == 3, "pendiente").otherwise(F.col("estado"))).where(k % 25 != 6)
+    changed = now.where((k % 25).isin(1, 3, 6)).select("publicacion_id", "candidata_id")
+    members = materialize(graph.groups(before))
+    return group_upkeep.maintain_groups(members, now, changed)
+
+
+@query(SQL_MERGED)
+def merge_touched_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge that keeps reviewed states, on a table in buckets: only buckets with a changed edge are written."""
+    old = edges(spark, sf).select("publicacion_id", "candidata_id", "puntaje", "estado")
+    path, keys = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}", ["publicacion_id", "candidata_id"]
+    buckets.write_buckets(old, path, keys, 64)
+    again = old.where("publicacion_id % 2 = 0").withColumns({"puntaje": F.lit(99).cast("decimal(5,2)"), "estado": F.lit("pendiente")})
+    more = old.where("publicacion_id % 7 = 0").withColumns({"candidata_id": -F.col("candidata_id"), "puntaje": F.lit(50).cast("decimal(5,2)"), "estado": F.lit("confirmada")})
+    buckets.merge_buckets(path, again.union(more), keys, 64, curate.upsert_edges)
+    return buckets.read_buckets(spark, path)

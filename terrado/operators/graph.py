@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrado.sources.tables import drop_table, materialize
 
 MAX_ROUNDS = 60
+#: Links that one task solves (some 20 MB): listings of a city, or the groups that a change touches.
+FEW = 200_000
 #: A node with more than this share of all links is a hub; there are twice as many of them at most as shares in the whole.
 HUB = 1 / 1000
 
@@ -31,15 +37,42 @@ def _with_least(links: DataFrame, key: str, found: DataFrame, total: int) -> Dat
     return marked.where("s IS NOT NULL").select("a", "b", "s").union(rest.select("a", "b", "s"))
 
 
-def connected_components(edges: DataFrame, a: str = "publicacion_id", b: str = "candidata_id", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """node, component of few links, by union and find."""
+    kind = links.schema["a"].dataType
+    fields = pa.schema({"node": to_arrow_type(kind), "component": to_arrow_type(kind)})
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def root(node):
+            while (up := above.setdefault(node, node)) != node:
+                above[node] = above[up]
+                node = up
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                least, other = sorted((root(a), root(b)))
+                above[other] = least
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, fields.field(0).type), pa.array([root(n) for n in nodes], fields.field(1).type)], schema=fields)
+
+    return links.coalesce(1).mapInArrow(solve, f"node {kind.simpleString()}, component {kind.simpleString()}")
+
+
+def connected_components(edges: DataFrame, a: str = "publicacion_id", b: str = "candidata_id", max_rounds: int = MAX_ROUNDS, few: int = 0) -> DataFrame:
     """node, component (smallest reachable node) of all nodes of the edges, whose ends have an order and are not null.
 
     Every round links each node's larger neighbours and then its smaller ones to
     the smallest (large star, small star), which keeps the components and never
     adds links. Rounds are written to the shared folder; only counts come to the
     driver. Edges from a node to itself, repeated and reversed ones do no harm.
+    Up to `few` links are solved in one task, which holds them all.
     """
     links = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    if few and links.count() <= few:
+        return _in_one_task(links)
     total, unsettled = _state(links)
     for _ in range(max_rounds):
         if not unsettled:
@@ -67,7 +100,7 @@ def groups(edges: DataFrame, respect_review: bool = True) -> DataFrame:
     With respect_review off, an edge that was confirmed again (recomputed) joins although it was discarded.
     """
     state = F.col("estado") if respect_review or "estado_calculado" not in edges.columns else F.coalesce("estado_calculado", "estado")
-    found = connected_components(edges.where(state == "confirmada"))
+    found = connected_components(edges.where(state == "confirmada"), few=FEW)
     return found.toDF("publicacion_id", "inmueble_id")
 
 
@@ -80,7 +113,7 @@ def split_groups(members: DataFrame, edges: DataFrame) -> DataFrame:
     first = members.select(F.col("publicacion_id").alias("publicacion_id"), F.col("inmueble_id").alias("g1"))
     second = members.select(F.col("publicacion_id").alias("candidata_id"), F.col("inmueble_id").alias("g2"))
     inside = edges.where("estado = 'confirmada'").join(first, "publicacion_id").join(second, "candidata_id").where("g1 = g2")
-    parts = connected_components(inside).toDF("publicacion_id", "component")
+    parts = connected_components(inside, few=FEW).toDF("publicacion_id", "component")
     sized = members.join(parts, "publicacion_id").groupBy("inmueble_id", "component").agg(F.count("*").alias("size"))
     place = F.row_number().over(Window.partitionBy("inmueble_id").orderBy(F.desc("size"), "component")) - 1
     return members.join(parts, "publicacion_id").join(sized.select("inmueble_id", "component", place.alias("parte")), ["inmueble_id", "component"]).select("publicacion_id", "inmueble_id", "parte")
