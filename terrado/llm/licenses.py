@@ -9,6 +9,7 @@ Short base phrases are templates too, and every place of one is reported.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -197,12 +198,15 @@ class Scanner:
                     if end_j < end and at_j < at and (more := chains[j][0] + min(run, end - end_j, at - at_j)) > covered:
                         covered, start = more, chains[j][1]
                 chains.append((covered, start, end))
-            taken: list[tuple[int, int]] = []
+            starts: list[int] = []  # of the spans taken, which never overlap, in order; with their ends
+            ends: list[int] = []
             for covered, start, end in sorted(chains, key=lambda c: (-c[0], c[1])):
                 if covered < self.min_cover * len(words):
                     break
-                if all(end <= s or start >= e for s, e in taken):
-                    taken.append((start, end))
+                at = bisect_right(starts, start)
+                if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
+                    starts.insert(at, start)
+                    ends.insert(at, end)
                     spans.append((label, start, end, min(1.0, covered / len(words))))
         return sorted(spans, key=lambda s: s[1:3])
 
