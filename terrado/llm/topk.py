@@ -260,17 +260,16 @@ def top_k(
     non-finite components, take no part; vectors of different lengths don't
     meet. Ties go to the smaller id. Rows that repeat an id are candidates each,
     and none of them is a candidate of that id's own query, which is one query
-    for each such row. Vectors so long that a product may not fit a long are an
-    error (ArithmeticError): the greatest norm squared must be below 2**63.
+    for each such row. Vectors of a norm squared of 2**63 or more take no part
+    either: a product with one may not fit a long, while any two others' does.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & _whole("v")).withColumn("norm", F.expr(f"aggregate(v, 0D, (t, x) -> t + pow(floor({SCALE}D * least(greatest(x, -1e18D), 1e18D)), 2))"))
+    rows = rows.where(F.col("norm") < 2.0**63)
     integers = F.expr(f"transform(v, x -> cast(floor({SCALE}D * least(greatest(x, -1e15D), 1e15D)) as long))")
-    rows = materialize(rows.select("id", integers.alias("v"), F.size("v").alias("d"), "norm", F.monotonically_increasing_id().alias("row")))
+    rows = materialize(rows.select("id", integers.alias("v"), F.size("v").alias("d"), F.monotonically_increasing_id().alias("row")))
     is_query = F.col("id") % every == 0
-    n, m, norm = rows.agg(F.count("*"), F.count_if(is_query), F.max("norm")).first()
-    if norm and norm >= 2.0**63:
-        raise ArithmeticError("products of these vectors may not fit a long")
+    n, m = rows.agg(F.count("*"), F.count_if(is_query)).first()
     pivots = Pivots([r["v"] for r in rows.orderBy(F.xxhash64("row", F.lit("pivot")), "row").limit(min(most_pivots, parts(n, cell))).select("v").collect()])
     placed = materialize(placed_rows(rows, pivots))
     drop_table(rows)
