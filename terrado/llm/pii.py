@@ -41,10 +41,10 @@ def _iban_of(length: int, countries: str) -> str:
     return f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
 
 
-# The patterns, by kind; the first that fits at a place counts. A card's is the whole run of digit groups it may be in.
+# The patterns, by kind; the first that fits at a place counts (a domain has 127 labels at most). A card's is the whole run of digit groups it may be in.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G(?<=[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]{0,100}))[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9-]))++[A-Za-z]{2,}|(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,})",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
+    "email": r"(?:(?<![\p{L}\p{M}\p{N}._%+-])|\G(?<=[^\p{L}\p{M}\p{N}._%+-][\p{L}\p{M}\p{N}._%+-]{0,100}))[\p{L}\p{M}\p{N}._%+-]++@(?:(?:[\p{L}\p{M}\p{N}-]++\.(?=[\p{L}\p{M}\p{N}-]))++\p{L}{2,}|(?:[\p{L}\p{M}\p{N}-]++\.){1,127}\p{L}{2,})",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
     "iban": r"\b(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b",
     "other_iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
@@ -125,15 +125,26 @@ def _card(m: str, key: str) -> str:
 def _cards(m: str, key: str) -> str:
     """SQL: the items of a run of digit groups: its cards, which begin and end with a group, and what is between.
 
+    A group's Luhn sums are made once; from each group at most 19 further ones are added up to see where a card ends.
+
     A card is 13 to 19 digits that pass Luhn. From each group the usual lengths and first digits
     win, then the longer; from left to right, one that is not usual gives way to a usual one that begins in it.
     """
-    head = "array_join(transform(slice(gs, j, 19), g -> substr(g, 1, 21)), '')"
-    tried = "transform(sequence(13, 19), n -> regexp_extract(h, concat('^[0-9](?:[ -]?[0-9]){', n - 1, '}(?![0-9])'), 0))"
-    valid = _let(_digits("v"), "c", f"c not rlike '^0*$' and {luhn_sum('c')} % 10 = 0")
-    score = _let(_digits("v"), "c", "length(c) + if(c rlike '^(?:[2-6][0-9]{15}|3[47][0-9]{13})$', 100, 0)")
-    one = f"named_struct('w', {score}, 'c', size(regexp_extract_all(v, '[0-9]++', 0)), 'v', v)"
-    best = f"transform(sequence(1, size(gs)), j -> {_let(head, 'h', f'array_max(transform(filter({tried}, v -> length(v) > 0 and {valid}), v -> {one}))')})"
+    x = "cast(substr(d, i, 1) as int)"
+    # the Luhn sums of a group's digits, its last one plain (a) or doubled (b); a longer group is in no card
+    sums = f"aggregate(sequence(1, length(d)), named_struct('a', 0, 'b', 0), (t, i) -> named_struct('a', t.b + {x}, 'b', t.a + if({x} > 4, 2 * {x} - 9, 2 * {x})))"
+    summed = _let(sums, "u", "named_struct('n', length(d), 'a', u.a, 'b', u.b, 'd', d)")
+    fact = _let("trim(TRAILING ' -' FROM g)", "d", f"if(length(d) > 19, named_struct('n', 99, 'a', 0, 'b', 0, 'd', ''), {summed})")
+    facts = f"transform(gs, g -> {fact})"
+    # a group behind others: an even number of digits leaves what is before it as it was, an odd one turns plain and doubled
+    c, a, b = "(t.c + f.n)", "(if(f.n % 2 = 0, t.a, t.b) + f.a)", "(if(f.n % 2 = 0, t.b, t.a) + f.b)"
+    usual = f"if(({c} = 16 and h between '20' and '69') or ({c} = 15 and h in ('34', '37')), 100, 0)"
+    weight = f"if({c} >= 13 and {a} % 10 = 0 and {a} + {b} > 0, {c} + {usual}, 0)"
+    step = f"named_struct('c', {c}, 'a', {a}, 'b', {b}, 'k', t.k + 1, 'w', greatest(t.w, {weight}), 'best', if({weight} > t.w, t.k + 1, t.best))"
+    tried = f"aggregate(slice(fs, j, 19), named_struct('c', 0, 'a', 0, 'b', 0, 'k', 0, 'w', 0, 'best', 0), (t, f) -> if({c} > 19, named_struct('c', 99, 'a', 0, 'b', 0, 'k', 0, 'w', t.w, 'best', t.best), {step}))"
+    one = "if(r.w = 0, cast(null as struct<w:int,c:int,v:string>), named_struct('w', r.w, 'c', r.best, 'v', trim(TRAILING ' -' FROM array_join(slice(gs, j, r.best), ''))))"
+    first_two = "substr(concat(fs[j - 1].d, if(j < size(fs), fs[j].d, '')), 1, 2)"
+    best = f"transform(sequence(1, size(gs)), j -> {_let(first_two, 'h', _let(tried, 'r', one))})"
     yields = "best[j - 1].w < 100 and exists(slice(best, j + 1, best[j - 1].c - 1), x -> x.w >= 100)"
     taken = "named_struct('p', j + best[j - 1].c, 'o', concat(t.o, array(named_struct('s', j, 'e', j + best[j - 1].c, 'v', best[j - 1].v))))"
     none = "named_struct('p', 1, 'o', cast(array() as array<struct<s:int,e:int,v:string>>))"
@@ -144,7 +155,7 @@ def _cards(m: str, key: str) -> str:
     card = f"named_struct('t', {_let('cs[k].v', 'one', _card('one', key))}, 'k', 'card')"
     pieces = f"flatten(transform(sequence(0, size(cs)), k -> if(k = size(cs), array({plain('size(gs) + 1')}), array({plain('cs[k].s')}, {card}))))"
     whole = f"if(size(cs) = 0, array(named_struct('t', {m}, 'k', '')), {pieces})"
-    return _let(f"regexp_extract_all({m}, '[0-9]++[ -]?', 0)", "gs", _let(best, "best", _let(chosen, "cs", whole)))
+    return _let(f"regexp_extract_all({m}, '[0-9]++[ -]?', 0)", "gs", _let(facts, "fs", _let(best, "best", _let(chosen, "cs", whole))))
 
 
 def _iban(m: str, key: str) -> str:
