@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrado.catalogue import analytic, capturing, extraction, keeping, market, matching, searching, textual
+from terrado.catalogue import analytic, capturing, extraction, keeping, market, matching, portal_pages, searching, textual
 
-_PARTS = (searching, matching, analytic, textual, extraction, market, keeping, capturing)
+_PARTS = (searching, matching, analytic, textual, extraction, market, portal_pages, keeping, capturing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
