@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrado.extract.galleries import galleries
+from terrado.extract.placing import placed
 from terrado.extract.rules import Rule, after_label, decimal, first, money, tiers
 from terrado.functions.numbers import first_integer
-from terrado.functions.text import blank_to_null, label_key, let, squeeze
+from terrado.functions.text import blank_to_null, label_key, let, squeeze, title_case
 from terrado.functions.text import lines as lines_of
 from terrado.operators.upkeep import json_coordinates, territorial
+from terrado.sources.pages import property_data
 
 # Property types, the first that stands in a text counts.
 TYPES = ("Apartamento", "Casa Lote", "Casa", "Lote", "Oficina", "Local", "Apartaestudio", "Edificio", "Consultorio", "Finca", "Bodega")
@@ -25,6 +28,8 @@ FEE = (r"(?i)\+\s*\$\s*([\d\.]+)\s*admin", r"(?iU)administraci[oó]n\s*[:\$]?\s*
 TOTAL = (r"(?i)de\s+([\d\.,]+)\s+resultados", r"(?i)([\d\.,]+)\s+resultados")
 WINDOW = r"(?i)([\d\.,]+)\s*[-–]\s*([\d\.,]+)\s+de\s+([\d\.,]+)\s+resultados"
 PLACE = (r"(?iU)en\s+venta\s+en\s+(.+?),\s*pasto", r"(?iU)en\s+(.+?),\s*pasto")
+BARRIO_IN_ADDRESS = r"(?iU)\bBarrio\s+([A-Za-zÁÉÍÓÚÑáéíóúñ0-9\s.\-]+?)(?:\s{2,}|,|\.|$|\s+Estrato\b|\s+Ubicaci[oó]n\b|\s+Deposito\b|\s+Garaje\b)"
+PLACE_IN_TEXT = r"(?iU)([A-Za-zÁÉÍÓÚÑáéíóúñ\s.]++),\s*Pasto,\s*Nariño"
 FLOORS = r"(?i)(\d+)\s*(?:pisos|piso|niveles|nivel)"
 
 
@@ -63,8 +68,7 @@ def result_window(text: Column) -> Column:
     return F.when((first_ > 0) & (last >= first_) & (total > 0), F.struct(first_.alias("first"), last.alias("last"), total.alias("total")))
 
 
-def records(pages: DataFrame, place: str = "pasto") -> DataFrame:
-    """pages (id, url, title, text, html) with all fields and skip_reason (fuera_de_pasto, sin_precio; null for a listing)."""
+def _read(pages: DataFrame, place: str) -> DataFrame:
     rows = pages.withColumn("lines", lines_of(F.coalesce("text", F.lit(""))))
     text, title, lines = F.coalesce("text", F.lit("")), F.col("title"), F.col("lines")
     last_step = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?#]*?/(\d+)/*(?:[?#].*)?$", 1)
@@ -85,12 +89,52 @@ def records(pages: DataFrame, place: str = "pasto") -> DataFrame:
             "punto": json_coordinates(F.coalesce("html", F.lit(""))),
         }
     )
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "m2": F.coalesce("m2_privado", "m2_construido"),
             "pisos": F.coalesce(first_integer(after_label("Cantidad de pisos", 5)(lines)), F.regexp_extract("descripcion", FLOORS, 1).try_cast("int")),
             "skip_reason": F.when(~territorial(F.col("url"), title, F.col("html"), place), "fuera_de_pasto").when(F.coalesce(F.col("precio") <= 0, F.lit(True)), "sin_precio"),
         }
     )
-    fields = ("codigo_externo", "precio", "tipo_inmueble", "barrio", "descripcion", "m2", "m2_construido", "habitaciones", "banios", "parqueadero", "estrato", "antiguedad", "pisos", "administracion")
-    return rows.select("id", *fields, F.col("punto.lat").alias("latitud"), F.col("punto.lon").alias("longitud"), "skip_reason")
+
+
+FIELDS = ("codigo_externo", "precio", "tipo_inmueble", "barrio", "descripcion", "m2", "m2_construido", "habitaciones", "banios", "parqueadero", "estrato", "antiguedad", "pisos", "administracion")
+
+
+def records(pages: DataFrame, place: str = "pasto") -> DataFrame:
+    """pages (id, url, title, text, html) with all fields and skip_reason (fuera_de_pasto, sin_precio; null for a listing)."""
+    return _read(pages, place).select("id", *FIELDS, F.col("punto.lat").alias("latitud"), F.col("punto.lon").alias("longitud"), "skip_reason")
+
+
+def json_text(data: Column, *path: str) -> Column:
+    """A variant's text at a path of names, through the first item where a member is an array; null unless it is a text."""
+    ways = ["$"]
+    for name in path:
+        ways = [f"{way}.{name}{item}" for way in ways for item in ("", "[0]")]
+    found = [F.try_variant_get(data, way, "variant") for way in ways]
+    return F.nullif(squeeze(F.coalesce(*[F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in found])), F.lit(""))
+
+
+def said_place(lines: Column, title: Column, text: Column, data: Column) -> Column:
+    """struct barrio, direccion: from the page's data, then labels, the title and the text; the first that says anything counts."""
+    address = json_text(data, "address")
+    named = F.nullif(squeeze(F.regexp_extract(address, BARRIO_IN_ADDRESS, 1)), F.lit(""))
+    named = title_case(F.when(~named.isin("-", "N/A"), named))
+    structured = F.coalesce(json_text(data, "locations", "location_main", "name"), json_text(data, "locations", "neighbourhood", "name"), named)
+    in_city = lambda barrio: F.concat(barrio, F.lit(", Pasto, Nariño"))
+    full = F.concat_ws(" ", F.coalesce(title, F.lit("")), text)
+    ways = [in_city(structured), after_label("Ubicación Principal", 3)(lines), after_label("Ubicación", 3)(lines), in_city(first(PLACE, blank_to_null)(title)), F.nullif(F.regexp_extract(full, PLACE_IN_TEXT, 0), F.lit(""))]
+    place = F.coalesce(*[F.nullif(squeeze(w), F.lit("")) for w in ways])
+    parts = F.filter(F.transform(F.split(place, ","), squeeze), lambda x: (x != "") & ~label_key(x).isin("pasto", "narino"))
+    barrio = F.get(parts, F.lit(0))
+    return F.struct(barrio.alias("barrio"), F.when(place.isNotNull(), F.concat_ws(", ", barrio, F.lit("Pasto"), F.lit("Nariño"))).otherwise(F.coalesce(address, F.lit("Pasto, Nariño"))).alias("direccion"))
+
+
+def located(pages: DataFrame, places: DataFrame, names: DataFrame, place: str = "pasto") -> DataFrame:
+    """Pages (id unique, url, title, text, html, images) with the fields of records(), and ph, the catalog's barrio, direccion, ubicacion, imagenes."""
+    rows = _read(pages, place).withColumns({"titulo": F.col("title"), "ciudad": F.lit("Pasto"), "_data": property_data(F.coalesce("html", F.lit("")))})
+    rows = rows.withColumn("_place", said_place(F.col("lines"), F.col("title"), F.coalesce("text", F.lit("")), F.col("_data")))
+    rows = rows.withColumns({"barrio": F.col("_place.barrio"), "_direccion": F.col("_place.direccion"), "latitud": F.col("punto.lat"), "longitud": F.col("punto.lon")})
+    rows = rows.select("id", "url", "titulo", "ciudad", *FIELDS, "latitud", "longitud", "_direccion", "skip_reason")
+    out = placed(rows, places, names, ["descripcion"], "descripcion", address="_direccion", building_as_barrio=True)
+    return out.join(galleries(pages, "fincaraiz"), "id", "left").select("id", "url", *FIELDS, "ph", "ciudad", "direccion", "ubicacion", "latitud", "longitud", "imagenes", "skip_reason")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from terrado.extract import classifieds, galleries, json_pages
+from terrado.extract import classifieds, galleries, headed_pages, json_pages, listing_pages
 from terrado.functions.text import place_key
 
 PAGES = "id long, url string, text string, tipo string, images array<struct<url:string,width:double,height:double>>"
@@ -93,3 +93,46 @@ def test_best_resolutions(spark):
     assert found == {1: [base + "th.outside640x480.__infocdn__a.jpg", new.format("900x600"), base + "d.jpg"], 2: []}
     rows = spark.createDataFrame([(1, "https://x", [("a.jpg", 0.0, 0.0), ("/a.jpg", 0.0, 0.0), ("b.svg", 0.0, 0.0), ("//h/Logo.png", 0.0, 0.0)])], rows.schema)
     assert galleries.galleries(rows, "ciencuadras").first().imagenes == ["https://www.ciencuadras.com/a.jpg"]
+
+
+TITLED = "id long, url string, title string, text string, html string, images array<struct<url:string,width:double,height:double>>"
+
+
+def test_headed_pages(spark, catalogs):
+    text = "Código: C-9\nValor de compra: $ 300.000.000\n3 Habitaciones\nBaños: 2\nÁrea privada\n80,5 m2\nEstrato: 4\nDescripción\nCasa de tres pisos en Altos de Aranda\nGastos\nadministración: $ 90.000"
+    pages = [
+        (1, "u", "Casa en venta, La Colina", text, '{"latitude": 91.5, "longitude": 3, "coordinates": [-77.28, 1.21]}', shown("/a.jpg")),
+        (2, "u", "Casa", "Pandiaco, Pasto, Nariño\nPrecio: $ 5.000.000", '<p data-lat="1.2" x data-lng="-77.3">', None),
+        (3, "u", None, "lote ubicado en pasto en Genoy, cerca", None, None),
+        (4, "u", "Finca, El Encanto", "$ 90.000.000 casa en Sandona", None, None),
+    ]
+    found = {r.id: r for r in headed_pages.records(spark.createDataFrame(pages, TITLED), *catalogs).collect()}
+    r = found[1]
+    assert (r.codigo_externo, r.precio, r.tipo_inmueble, r.barrio, r.ph, r.direccion, r.ciudad) == ("C-9", 300_000_000, "Casa", "La Colina", "Altos de Aranda", "La Colina, Pasto, Nariño", "Pasto")
+    assert (r.habitaciones, r.banios, r.m2, r.estrato, r.pisos, r.administracion, r.latitud, r.longitud, r.skip_reason) == (3, 2, 80.5, 4, 3, 90_000, 1.21, -77.28, None)
+    assert r.imagenes == ["https://www.ciencuadras.com/a.jpg"] and r.descripcion == "Casa de tres pisos en Altos de Aranda"
+    assert (found[2].barrio, found[2].latitud, found[2].skip_reason) == ("Pandiaco", 1.2, None)
+    assert (found[3].tipo_inmueble, found[3].direccion, found[3].skip_reason) == ("Lote", "Genoy, Pasto, Nariño", "sin_precio")
+    assert found[4].tipo_inmueble == "Finca"
+
+
+def test_places_of_listing_pages(spark, catalogs):
+    data = '<script id="__NEXT_DATA__" type="j">{"props":{"pageProps":{"data":%s}}}</script>'
+    pages = [
+        (1, "http://x/pasto/1", "Casa", "$ 90.000.000\nUbicación: Pandiaco, Pasto", data % '{"locations":{"location_main":[{"name":"La Colina"}]},"address":"Cra 1"}', shown("/repo/img/a.jpg")),
+        (2, "http://x/pasto/2", "Casa", "$ 90.000.000\nUbicación Principal\nPasto, Pandiaco", None, None),
+        (3, "http://x/pasto/3", "Casa en venta en La Colina, Pasto", "$ 90.000.000", data % '{"address":"Calle 1 barrio genoy, sur"}', None),
+        (4, "http://x/pasto/4", None, "$ 90.000.000", data % '{"address":"Calle 9"}', None),
+        (5, "http://x/pasto/5", None, "$ 90.000.000", data % '{"locations":{"location_main":{"name":"Edificio Sol"}}}', None),
+        (6, None, None, None, None, None),
+    ]
+    found = {r.id: r for r in listing_pages.located(spark.createDataFrame(pages, TITLED), *catalogs).collect()}
+    assert {i: (r.barrio, r.ph, r.direccion) for i, r in found.items()} == {
+        1: ("La Colina", None, "La Colina, Pasto, Nariño"),
+        2: ("Pandiaco", None, "Pandiaco, Pasto, Nariño"),
+        3: ("Genoy", None, "Genoy, Pasto, Nariño"),
+        4: (None, None, "Calle 9"),
+        5: (None, "Edificio Sol", "Edificio Sol, Pasto, Nariño"),
+        6: (None, None, "Pasto, Nariño"),
+    }
+    assert found[1].imagenes == ["https://www.fincaraiz.com.co/repo/img/a.jpg"] and found[6].skip_reason == "fuera_de_pasto"
