@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrado.extract.galleries import galleries
 from terrado.extract.placing import placed
-from terrado.extract.rules import Rule, after_label, decimal, first, money, tiers
+from terrado.extract.rules import Rule, after_label, decimal, first, money
 from terrado.functions.numbers import first_integer
 from terrado.functions.text import blank_to_null, label_key, let, squeeze, title_case
 from terrado.functions.text import lines as lines_of
@@ -39,9 +41,9 @@ def known_type(text: Column, whole_word: bool = True) -> Column:
     return F.coalesce(*[F.when(stands(t), t) for t in TYPES])
 
 
-def labelled(names: tuple[str, ...], parse: Rule) -> Rule:
-    """From lines: the value after the first of some labels that parses."""
-    return lambda lines: F.coalesce(*[parse(after_label(n, 5)(lines)) for n in names])
+def labelled(names: tuple[str, ...], parse: Rule) -> Callable[[Column, Column], Column]:
+    """From lines and their keys: the value after the first of some labels that parses."""
+    return lambda lines, keys: F.coalesce(*[let(after_label(n, 5)(lines, keys), parse) for n in names])
 
 
 def section(start: str, ends: tuple[str, ...]) -> Rule:
@@ -69,11 +71,13 @@ def result_window(text: Column) -> Column:
 
 
 def _read(pages: DataFrame, place: str) -> DataFrame:
-    rows = pages.withColumn("lines", lines_of(F.coalesce("text", F.lit(""))))
-    text, title, lines = F.coalesce("text", F.lit("")), F.col("title"), F.col("lines")
+    # each step's columns are made once; an expression that stands in several others would be made in each
+    rows = pages.withColumn("lines", lines_of(F.coalesce("text", F.lit("")))).withColumn("_keys", F.transform("lines", label_key))
+    text, title, lines, keys = F.coalesce("text", F.lit("")), F.col("title"), F.col("lines"), F.col("_keys")
+    told = {"_type": "Tipo de Inmueble", "_stratum": "Estrato", "_fee": "Administración", "_floors": "Cantidad de pisos"}
+    rows = rows.withColumns({name: after_label(label, 5)(lines, keys) for name, label in told.items()})
     last_step = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?#]*?/(\d+)/*(?:[?#].*)?$", 1)
-    said_type = after_label("Tipo de Inmueble", 5)(lines)
-    stratum = after_label("Estrato", 5)(lines)
+    said_type, stratum = F.col("_type"), F.col("_stratum")
     rows = rows.withColumns(
         {
             "codigo_externo": F.coalesce(first(CODE, blank_to_null)(text), F.nullif(last_step, F.lit(""))),
@@ -81,18 +85,18 @@ def _read(pages: DataFrame, place: str) -> DataFrame:
             "descripcion": section("Descripción", AFTER_DESCRIPTION)(lines),
             "tipo_inmueble": F.coalesce(known_type(said_type), said_type, known_type(title), known_type(F.concat_ws(" ", title, text), False)),
             "barrio": first(PLACE, blank_to_null)(title),
-            **{name: labelled(names, decimal)(lines) for name, names in AREA_LABELS.items()},
-            **{name: labelled(names, first_integer)(lines) for name, names in NUMBER_LABELS.items()},
+            **{name: labelled(names, decimal)(lines, keys) for name, names in AREA_LABELS.items()},
+            **{name: labelled(names, first_integer)(lines, keys) for name, names in NUMBER_LABELS.items()},
             "estrato": F.when(~F.lower(stratum).rlike("sin definir|preg"), first_integer(stratum)),
-            "antiguedad": after_label("Antigüedad", 5)(lines),
-            "administracion": tiers(lambda x: F.nullif(money(after_label("Administración", 5)(x["lines"])), F.lit(0)), lambda x: first(FEE, money)(x["text"]))(F.struct(lines.alias("lines"), text.alias("text"))),
+            "antiguedad": after_label("Antigüedad", 5)(lines, keys),
+            "administracion": F.coalesce(F.nullif(money(F.col("_fee")), F.lit(0)), first(FEE, money)(text)),
             "punto": json_coordinates(F.coalesce("html", F.lit(""))),
         }
     )
     return rows.withColumns(
         {
             "m2": F.coalesce("m2_privado", "m2_construido"),
-            "pisos": F.coalesce(first_integer(after_label("Cantidad de pisos", 5)(lines)), F.regexp_extract("descripcion", FLOORS, 1).try_cast("int")),
+            "pisos": F.coalesce(first_integer(F.col("_floors")), F.regexp_extract("descripcion", FLOORS, 1).try_cast("int")),
             "skip_reason": F.when(~territorial(F.col("url"), title, F.col("html"), place), "fuera_de_pasto").when(F.coalesce(F.col("precio") <= 0, F.lit(True)), "sin_precio"),
         }
     )
