@@ -1,13 +1,15 @@
 """Near-duplicates: all pairs of texts at a Jaccard similarity of their word shingles, joined to groups.
 
-Each text is the set of hashes (64 bits) of its shingles, in one order for all
+Texts whose SimHash fingerprints share a deletion variant (`simhash`) meet first,
+and what meets is checked exactly. Two bits of 64 reach few of the similar texts,
+so the rest meets by its sets: each text is the set of hashes (64 bits) of its shingles, in one order for all
 texts. Two texts at the similarity share a shingle early in both sets (prefix
 filter), at places that leave enough of both behind it (positional filter), so
 each set is indexed under its first shingles and those that share one meet by an
 equality join. Any order is exact; shingles that are common in a sample come
 last, so templates fill few buckets. A shingle of one text only is counted and
-then left out of the join. First each text is compared with the text of its
-bucket that has the shingle earliest; then all pairs of a bucket whose texts are
+then left out of the join. With SimHash's pairs each text is compared with the text of
+its bucket that has the shingle earliest; then all pairs of a bucket whose texts are
 not yet in one group. A pair is dropped if the parity bitmaps of both sets differ
 in so many bits that they can't be similar enough (each shared member cancels
 out); what is left is decided on the whole sets.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from terrado.llm.common import content_of, drop_table, few, free_name, materialize, slices, utf8
 from terrado.llm.components import connected_components
+from terrado.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
+from terrado.llm.simhash import SHINGLE as SIMHASH_SHINGLE
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Against rounding, where products of the similarity are compared with whole numbers.
@@ -123,8 +127,16 @@ def _verified(links: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, si
     return good
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes (node, fp) that connect all whose fingerprints SimHash links: those of one fingerprint by the smallest, linked ones by theirs."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.select("node", "fp").join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = fingerprint_links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    return same.union(linked.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def similar_links(nodes: DataFrame, rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links a, b that connect all nodes (node, content, first, size, bits, prefix: the first of the ordered set) at the similarity, all of them at it."""
+    """Links a, b that connect all nodes (node, content, first, size, bits, fp, prefix: the first of the ordered set) at the similarity, all of them at it."""
 
     def fits(size: str, at: str, other_size: str, other_at: str) -> Column:
         """What is left from a shared shingle on can reach the similarity."""
@@ -139,10 +151,11 @@ def similar_links(nodes: DataFrame, rows: DataFrame, size: int = SHINGLE, simila
 
     centres = met.groupBy("key").agg(F.min_by(F.struct("node", "size", "at"), F.struct("at", "node")).alias("c"))
     stars = met.join(centres, "key").where("node != c.node").where(fits("size", "at", "c.size", "c.at"))
-    tried = materialize(stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+    stars = stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    tried = materialize(simhash_pairs(nodes).union(stars).distinct())
     links = _verified(tried, nodes, rows, size, similarity)
 
-    # all other pairs of a bucket, but for those that the stars have joined; a large bucket's in parts
+    # all other pairs of a bucket, but for those that SimHash and the stars have joined; a large bucket's in parts
     grouped = met.where("n > 2").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialize(grouped)
     mixed = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -175,21 +188,23 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingles(t, size) for t in utf8(batch.column(2))]
+            texts = utf8(batch.column(2))
+            found = [shingles(t, size) for t in texts]
+            prints = np.array([fingerprint(shingle_hashes(t, SIMHASH_SHINGLE)) for t in texts], "<u8").view("<i8")
             bits = pa.array([parity(x) for x in found], pa.list_(pa.int64()))
             sets = [ordered(x, common, rank) for x in found]
             first = [s[: prefix_length(len(s), similarity)] for s in sets]
             at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), bits, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                names=["doc_id", "content", "size", "bits", "prefix"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), bits, pa.array(prints), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                names=["doc_id", "content", "size", "bits", "fp", "prefix"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInArrow(sign, f"doc_id {kind}, content binary, size int, bits array<long>, prefix array<long>")
+    signed = rows.mapInArrow(sign, f"doc_id {kind}, content binary, size int, bits array<long>, fp long, prefix array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]  # false comes before true
-    distinct = signed.groupBy("content").agg(first.alias("first"), F.count("*").alias("n_rows"), *(F.first(x).alias(x) for x in ("size", "bits", "prefix")))
+    distinct = signed.groupBy("content").agg(first.alias("first"), F.count("*").alias("n_rows"), *(F.first(x).alias(x) for x in ("size", "bits", "fp", "prefix")))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     parts = connected_components(similar_links(nodes, once, size, similarity))
     named = nodes.select("node", "content", "first", "n_rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
