@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from terrado.functions.text import is_blank
 
+#: Visible listings whose ids are broadcast, to leave out other listings' matches early.
+BROADCAST = 200_000
+#: Listings whose matches one task lists.
+LISTINGS = 50_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -24,14 +28,23 @@ def match_order() -> list[Column]:
 
 
 def match_lists(visible: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, coincidencias: the matches of every visible listing, in match order; listings without any have an empty array."""
-    mine = both_ways(edges).join(visible.select("id").distinct(), "id", "left_semi")
+    """id, coincidencias: the matches of every visible listing, in match order; listings without any have an empty array.
+
+    Listings and their matches meet in one grouping, dealt to as many tasks as there are listings for, so a task's share doesn't grow with the tables.
+    """
+    n = visible.count()
+    mine = both_ways(edges).where("id IS NOT NULL")
+    if n <= BROADCAST:
+        mine = mine.join(F.broadcast(visible.select("id").distinct()), "id", "left_semi")
     # arrays sort ascending, so what sorts first is negated
     item = F.struct((F.col("estado") != "confirmada").alias("k1"), (-F.col("puntaje")).alias("k2"), F.col("edge_id").alias("k3"), "other", "estado", "puntaje")
-    lists = mine.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    mine = mine.select("id", item.alias("item"), F.lit(0).alias("times"))
+    seen = visible.select("id", F.lit(None).cast(mine.schema["item"].dataType).alias("item"), F.lit(1).alias("times"))
+    dealt = seen.union(mine).repartition(max(1, -(-n // LISTINGS)), "id")
+    lists = dealt.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"), F.sum("times").cast("int").alias("times")).where("times > 0")
     shown = F.transform("items", lambda x: F.struct(x["k3"].alias("edge_id"), x["other"].alias("otra_id"), x["estado"].alias("estado"), x["puntaje"].alias("puntaje")))
-    empty = F.array().cast("array<struct<edge_id:bigint,otra_id:bigint,estado:string,puntaje:decimal(5,2)>>")
-    return visible.select("id").join(lists, "id", "left").select("id", F.coalesce(shown.cast(empty_type()), empty).alias("coincidencias"))
+    # a listing that is visible more than once has as many rows
+    return lists.select("id", shown.cast(empty_type()).alias("coincidencias"), F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("once")).drop("once")
 
 
 def empty_type() -> str:
