@@ -65,7 +65,7 @@ def crawl_decisions(spark: SparkSession, sf: str) -> DataFrame:
 @query(SQL_GROUPS)
 def groups_kept_up(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of a former state of the edges, kept up with those that have changed since."""
-    now = edges(spark, sf)
+    now = materialize(edges(spark, sf).select("publicacion_id", "candidata_id", "estado"))
     k = F.col("publicacion_id")
     before = now.withColumn("estado", F.when(k % 25 == 1, "confirmada").when(k % 25 == 3, "pendiente").otherwise(F.col("estado"))).where(k % 25 != 6)
     changed = now.where((k % 25).isin(1, 3, 6)).select("publicacion_id", "candidata_id")

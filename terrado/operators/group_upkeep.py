@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrado.operators.graph import FEW, connected_components
+from terrado.sources.tables import materialize
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """Marked for a broadcast if there are few; counted up to the bound only."""
+    """Written once, as it is read more than once; marked for a broadcast if there are few, counted up to the bound only."""
+    ids = materialize(ids)
     return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids
 
 
@@ -21,12 +23,12 @@ def touched_members(members: DataFrame, changed: DataFrame) -> tuple[DataFrame,
     ends = _few(changed.select("publicacion_id").union(changed.select("candidata_id")).distinct())
     groups = _few(members.join(ends, "publicacion_id", "left_semi").select("inmueble_id").distinct())
     inside = members.join(groups, "inmueble_id", "left_semi").select("publicacion_id")
-    return groups, inside.union(ends).distinct()
+    return groups, _few(inside.union(ends).distinct())
 
 
 def touched_edges(edges: DataFrame, listings: DataFrame) -> DataFrame:
     """The confirmed edges that the touched groups are made of. An edge that was there joins two members of one group, a new one two ends, so one end tells."""
-    return edges.where("estado = 'confirmada'").join(_few(listings), "publicacion_id", "left_semi")
+    return edges.where("estado = 'confirmada'").join(listings, "publicacion_id", "left_semi")
 
 
 def maintain_groups(members: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
