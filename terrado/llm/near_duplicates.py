@@ -175,15 +175,16 @@ def repeats_ids(docs: DataFrame, id_col: str) -> bool:
     return not docs.groupBy(F.col(f"`{id_col}`")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, repeated: bool | None = None) -> DataFrame:
     """One row per distinct text: content (its MD5), first (the smallest doc_id that has it), n_rows, component_id, keeps.
 
     component_id is the smallest doc_id of the group, and one text of each group
     keeps. Null and wordless texts are copies of each other. Null ids come last.
-    Ids may be of any type that has an order.
+    Ids may be of any type that has an order. repeated: whether some repeat, if that is known.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), content_of(text_col).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    once = rows.dropDuplicates(["doc_id", "content"]) if repeats_ids(docs, id_col) else rows
+    repeated = repeats_ids(docs, id_col) if repeated is None else repeated
+    once = rows.dropDuplicates(["doc_id", "content"]) if repeated else rows
     common, rank = common_shingles(rows, size)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +218,14 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one row of each group of near-duplicates: that of the smallest doc_id; all columns stay."""
-    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options)
+    repeated = repeats_ids(docs, id_col)
+    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, repeated=repeated, **options)
     of, here, first, keeps = (free_name(docs, name) for name in ("content", "here", "first", "keeps"))
     judged = groups.where("n_rows > 1 OR NOT keeps").select(F.col("content").alias(here), F.col("first").alias(first), F.col("keeps").alias(keeps))
     judged = few(materialize(judged))
     rows = docs.withColumn(of, content_of(text_col))
     other = ~(F.col(keeps) & F.col(f"`{id_col}`").eqNullSafe(F.col(first)))
     kept = rows.join(judged, (F.col(of) == F.col(here)) & other, "left_anti")
-    if repeats_ids(docs, id_col):  # rows that repeat id and text are copies, too
+    if repeated:  # rows that repeat id and text are copies, too
         kept = kept.dropDuplicates([id_col, of])
     return kept.drop(of)

@@ -18,21 +18,28 @@ FEW = 200_000
 HUB = 1 / 1000
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
+def _nodes(links: DataFrame) -> DataFrame:
+    """Of each node a: s, the smallest of it and its neighbours; n, how many of its links lead to larger ones, leaf to smaller ones."""
+    both = links.selectExpr("a", "b AS m", "1L AS n", "0L AS leaf").union(links.selectExpr("b", "a", "0L", "1L"))
+    return materialize(both.groupBy("a").agg(F.min("m").alias("m"), F.sum("n").alias("n"), F.sum("leaf").alias("leaf")).selectExpr("a", "least(a, m) AS s", "n", "leaf"))
+
+
+def _state(nodes: DataFrame) -> tuple[int, int]:
     """Links, and nodes that are neither a root only nor a leaf of one root only."""
-    ends = links.selectExpr("b AS node", "1L AS leaf").union(links.selectExpr("a", "0L"))
-    nodes = ends.groupBy("node").agg(F.sum("leaf").alias("roots"), F.count("*").alias("n"))
-    found = nodes.agg(F.coalesce(F.sum("roots"), F.lit(0)), F.count_if((F.col("roots") > 1) | ((F.col("roots") == 1) & (F.col("n") > 1)))).first()
+    found = nodes.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.count_if((F.col("leaf") > 1) | ((F.col("leaf") == 1) & (F.col("n") > 0)))).first()
     return found[0], found[1]
 
 
 def _with_least(links: DataFrame, key: str, found: DataFrame, total: int) -> DataFrame:
-    """links with the s that `found` (key, s, n: how many links have it) has for their key.
+    """links with the s that `found` (a written table of key, s, n: how many links have it) has for their key.
 
-    A hub's links would all be one task's, so hubs are broadcast; their number is bounded by HUB.
+    A hub's links would all be one task's, so hubs, if there are any, are broadcast; their number is bounded by HUB.
     """
     most = max(1000, int(total * HUB))
-    marked = links.join(F.broadcast(found.where(F.col("n") > most).select(key, "s")), key, "left")
+    hubs = found.where(F.col("n") > most).select(key, "s")
+    if hubs.isEmpty():
+        return links.join(found.select(key, "s"), key).select("a", "b", "s")
+    marked = links.join(F.broadcast(hubs), key, "left")
     rest = marked.where("s IS NULL").select("a", "b").join(found.where(F.col("n") <= most).select(key, "s"), key)
     return marked.where("s IS NOT NULL").select("a", "b", "s").union(rest.select("a", "b", "s"))
 
@@ -73,21 +80,21 @@ def connected_components(edges: DataFrame, a: str = "publicacion_id", b: str = "
     links = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     if few and links.count() <= few:
         return _in_one_task(links)
-    total, unsettled = _state(links)
-    for _ in range(max_rounds):
-        if not unsettled:
+    for k in range(max_rounds + 1):
+        nodes = _nodes(links)
+        total, unsettled = _state(nodes)
+        if not unsettled or k == max_rounds:
+            drop_table(nodes)
             break
-        both = links.selectExpr("a AS n", "b AS m", "1L AS one").union(links.selectExpr("b AS n", "a AS m", "0L AS one"))
-        least = both.groupBy(F.col("n").alias("a")).agg(F.least(F.min("m"), F.first("n")).alias("s"), F.sum("one").alias("n")).where("n > 0")
-        large = materialize(_with_least(links, "a", least, total).selectExpr("s AS a", "b").where("a < b").distinct())
-        root = large.groupBy("b").agg(F.min("a").alias("s"), F.count("*").alias("n"))
+        # links that become alike here are made one at the end of the round; there are never more of them than before
+        large = materialize(_with_least(links, "a", nodes.where("n > 0"), total).selectExpr("s AS a", "b").where("a < b"))
+        root = materialize(large.groupBy("b").agg(F.min("a").alias("s"), F.count("*").alias("n")))
         # a node's own link to the smallest, and those of its other smaller neighbours
         small = _with_least(large, "b", root, total)
         new = materialize(small.selectExpr("explode(array(struct(s AS a, b), struct(s AS a, a AS b))) AS link").select("link.a", "link.b").where("a < b").distinct())
-        drop_table(large)
-        drop_table(links)
+        for done in (nodes, large, root, links):
+            drop_table(done)
         links = new
-        total, unsettled = _state(links)
     if unsettled:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
